@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, tokenbin
+from . import packing, substrings, tokenbin
 
 #: name -> file of the tokenizer; the files stay where they are installed.
 TOKENIZERS = {"op1": "byte_bpe_50k.json", "op3": "word_bpe_49k.json"}
@@ -26,12 +27,17 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.write_and_read(table(spark, sf_dir, "documents"), tokenizer("op1"), end=0)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(table(spark, sf_dir, "documents"), n=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("op3"), end=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op3_packing)}
+    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
