@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substrings, tokenbin
+from . import packing, positional, substrings, tokenbin
 
 #: name -> file of the tokenizer; the files stay where they are installed.
 TOKENIZERS = {"op1": "byte_bpe_50k.json", "op3": "word_bpe_49k.json"}
@@ -36,8 +36,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("op3"), end=2)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = positional.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13, share=20)
+    return out.drop("hits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing)}
+    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
