@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, positional, substrings, tokenbin
+from . import jaccard, packing, positional, substrings, tokenbin
 
 #: name -> file of the tokenizer; the files stay where they are installed.
 TOKENIZERS = {"op1": "byte_bpe_50k.json", "op3": "word_bpe_49k.json"}
@@ -41,8 +41,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("hits")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=5, share=75, whole=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op7_decontamination)}
+    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op7_decontamination, op8_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,8 +22,21 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again: lineage ends there, and lost executors cost no rerun of what came before."""
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "true")  # the job's shuffle files go when it has ended
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts can be long: batches that go to Python hold so many rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -39,6 +52,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Just these columns; others, however they are named, take no part."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

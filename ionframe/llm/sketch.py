@@ -27,7 +27,7 @@ CELL_BITS, KEYS = 25, 1 << 22
 #: Text bytes for each key, at least, in what is expected of the input.
 KEY_BYTES = 5
 
-PARTIAL = "chunk int, part int, cells binary, twice binary"
+PARTIAL = "chunk int, part int, cells binary, more binary"
 MERGED = "chunk int, part int, counts binary"
 
 
@@ -65,23 +65,20 @@ def partial(chunk: int, keys: np.ndarray, segments: int) -> pa.Table:
         cell, n = np.unique(cells(keys, row, segments), return_counts=True)
         low = (cell & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32)
         for seg, where in _by_segment(cell):
-            out.append((chunk, row * segments + seg, tb.pack_sorted(low[where]), tb.pack(np.packbits(n[where] > 1))))
+            out.append((chunk, row * segments + seg, tb.pack_sorted(low[where]), tb.pack((np.minimum(n[where], 255) - 1).astype(np.uint8))))
     cols = list(zip(*out, strict=True)) if out else [[]] * 4
-    return pa.table({"chunk": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), "cells": pa.array(cols[2], pa.binary()), "twice": pa.array(cols[3], pa.binary())})
+    return pa.table({"chunk": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), "cells": pa.array(cols[2], pa.binary()), "more": pa.array(cols[3], pa.binary())})
 
 
 def merge(partials: DataFrame, top: int = 2) -> DataFrame:
-    """Counts, saturating at ``top`` (255 at most), in the order in which each chunk listed its cells.
-
-    A chunk adds 1 to a cell, or 2 if it saw it more often; with top = 2 that is all there is to know."""
+    """Counts, saturating at ``top`` (255 at most), in the order in which each chunk listed its cells."""
 
     def run(group: pa.Table) -> pa.Table:
         total = np.zeros(1 << CELL_BITS, np.uint8)
         lists, last = [], np.uint8(top)
-        for blob, twice in zip(group["cells"], group["twice"], strict=True):
+        for blob, more in zip(group["cells"], group["more"], strict=True):
             at = tb.unpack_sorted(blob.as_py(), np.uint32)
-            more = np.unpackbits(tb.unpack(twice.as_py(), np.uint8), count=len(at)) + np.uint8(1)
-            total[at] = np.minimum(total[at].astype(np.uint16) + more, last).astype(np.uint8)
+            total[at] = np.minimum(total[at].astype(np.uint16) + tb.unpack(more.as_py(), np.uint8) + 1, last).astype(np.uint8)
             lists.append(blob)
         counts = [tb.pack(total[tb.unpack_sorted(blob.as_py(), np.uint32)]) for blob in lists]
         return pa.table({"chunk": group["chunk"], "part": group["part"], "counts": pa.array(counts, pa.binary())})

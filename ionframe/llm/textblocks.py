@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 LONG_WORD = 256
 _U = np.uint64
 _MULT = {0: _U(0x9E3779B97F4A7C15), 1: _U(0xD6E8FEB86659FD93)}
@@ -46,7 +46,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), mod 2**64."""
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        m = max(n, 1 << 20)
+        m = max(n + (n >> 2), 1 << 20)
         got = np.empty(m, np.uint64)
         got[0] = 1
         done, b = 1, base & (2**64 - 1)

@@ -20,8 +20,8 @@ import numpy as np
 
 from .textblocks import LOWER, Block, span_hashes, table
 
-#: ids of pieces that a worker keeps; beyond it the store is emptied, which costs time only.
-STORE_IDS = 24_000_000
+#: Pieces that a worker keeps; beyond it those that were met in one block only go, which costs time only.
+STORE_PIECES = 1_500_000
 
 _SPACE = table("\x20\x09\x0a\x0b\x0c\x0d")
 #: Bits: 1 white space; 2 perhaps white space to some library; 4 ASCII letter; 8 punctuation, but not the apostrophe, nor < | > of which special tokens are made.
@@ -74,10 +74,22 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.empty(0, np.uint64)  # ascending: hashes of the pieces met
-        self.where = np.empty((0, 3), np.int64)  # of each: first id in the store, number of ids, bytes
+        self.where = np.empty((0, 3), np.uint32)  # of each: first id in the store, number of ids, bytes
+        self.again = np.empty(0, bool)  # of each: whether a later block had it too
         self.store = np.empty(1 << 20, np.uint32)
         self.used = 0
 
+    def _trim(self) -> None:
+        keep = self.again
+        if 2 * keep.sum() > STORE_PIECES:
+            self._clear()
+            return
+        at, size, width = self.where[keep].astype(np.int64).T
+        before = np.cumsum(size) - size
+        take = np.repeat(at - before, size) + np.arange(int(size.sum()))
+        self.store, self.used = self.store[take], len(take)
+        self.keys, self.where, self.again = self.keys[keep], np.stack([before, size, width], 1).astype(np.uint32), np.zeros(int(keep.sum()), bool)
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -106,15 +118,16 @@ class Encoder:
             self.store = np.concatenate([self.store, np.empty(max(len(self.store), len(flat)), np.uint32)])
         self.store[self.used : self.used + len(flat)] = flat
         at = np.searchsorted(self.keys, keys)
-        self.where = np.insert(self.where, at, np.stack([self.used + np.cumsum(size) - size, size, width], 1), axis=0)
+        self.where = np.insert(self.where, at, np.stack([self.used + np.cumsum(size) - size, size, width], 1).astype(np.uint32), axis=0)
+        self.again = np.insert(self.again, at, False)
         self.keys = np.insert(self.keys, at, keys)
         self.used += len(flat)
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each document's number of ids."""
         data = LOWER[block.data] if self.fold else block.data
-        if self.used > STORE_IDS:
-            self._clear()
+        if len(self.keys) > STORE_PIECES:
+            self._trim()
         cut = safe_cuts(data)
         cut[block.doc_at[block.size > 0]] = True
         cut[(block.doc_at + block.size)[:-1]] = False  # the separators
@@ -131,12 +144,13 @@ class Encoder:
         place = np.searchsorted(self.keys, key)
         met = place < len(self.keys)
         met[met] = self.keys[place[met]] == key[met]
+        self.again[place[met]] = True
         new = np.flatnonzero(~met)
         if len(new):
             w = where[new]
             self._learn(key[new], width[w], [data[a:b].tobytes().decode() for a, b in zip(start[w].tolist(), end[w].tolist(), strict=True)])
             place = np.searchsorted(self.keys, key)
-        at, size, bytes_ = self.where[place].T
+        at, size, bytes_ = self.where[place].astype(np.int64).T
         if (bytes_[back] != width).any():  # two pieces with one hash: for what the 64 bits and the length can tell
             self._clear()
             return self._plain(block)
