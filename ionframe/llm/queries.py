@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, positional, substrings, tokenbin
+from . import jaccard, packing, positional, secrets, substrings, tokenbin, toxicity
 
 #: name -> file of the tokenizer; the files stay where they are installed.
 TOKENIZERS = {"op1": "byte_bpe_50k.json", "op3": "word_bpe_49k.json"}
@@ -36,6 +36,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("op3"), end=2)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = positional.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13, share=20)
     return out.drop("hits")
@@ -45,8 +53,14 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=5, share=75, whole=100)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op7_decontamination, op8_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op5_secrets, op7_decontamination, op8_ngram_jaccard, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
