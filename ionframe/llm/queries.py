@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, positional, secrets, substrings, tokenbin, toxicity
+from . import jaccard, neighbours, packing, positional, secrets, substrings, templates, tokenbin, toxicity
 
 #: name -> file of the tokenizer; the files stay where they are installed.
 TOKENIZERS = {"op1": "byte_bpe_50k.json", "op3": "word_bpe_49k.json"}
@@ -36,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("op3"), end=2)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
@@ -59,8 +63,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op5_secrets, op7_decontamination, op8_ngram_jaccard, op9_toxicity)}
+    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op4_neighbours, op5_secrets, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:

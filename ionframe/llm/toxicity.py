@@ -38,7 +38,7 @@ SIGNS = {
 SEPARATORS = " .-_*'"
 LETTERS = 28  # a-z, another letter, edge
 OTHER, EDGE = 26, 27
-SIGN_COST, SHRINK_COST, KEEP_COST, DROP_COST = 0.7, 0.3, 2.0, 1.5
+SIGN_COST, SHRINK_COST, KEEP_COST, DROP_COST, SEPARATOR_COST = 0.7, 0.3, 2.0, 6.0, 0.3
 BEGINNINGS = (4, 5, 6, 7, 8)
 _CODE = np.full(256, EDGE, np.uint8)
 _CODE[0x61:0x7B] = _CODE[0x41:0x5B] = np.arange(26)
@@ -93,7 +93,7 @@ class Decoder:
                     out.append([(c * run, 0.0)])
             else:
                 read = [(x, SIGN_COST) for x in SIGNS.get(c, "")]
-                out.append(read + [("", DROP_COST * (0.2 if c in SEPARATORS else 1))])
+                out.append(read + [("", SEPARATOR_COST if c in SEPARATORS and not read else DROP_COST)])
                 if run > 1 and read:
                     out += [[(x * 1, SIGN_COST) for x, _ in read] + [("", SHRINK_COST)]] * (run - 1)
             i = j
