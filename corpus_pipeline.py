@@ -1,15 +1,64 @@
-"""The corpus pipeline (in progress)."""
+"""The corpus pipeline: from documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; what
+it returns is written as Parquet and read again.  All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ionframe.llm import fuzzylines, jaccard, packing, positional, queries, toxicity
+from ionframe.llm.shared import written
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, queries.table(spark, sf_dir, "labels")))
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go, and documents of which nothing is left."""
+    out = fuzzylines.dedup(docs)
+    out = out.where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    away = jaccard.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(away, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is in benchmark passages go."""
+    found = positional.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens with the sources in the shares that they have in what is left."""
+    return packing.pack(docs, queries.tokenizer("op3"), end=2)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", lines_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: MinHash, the fitted score and token ids are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

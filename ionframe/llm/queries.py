@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, neighbours, packing, positional, secrets, substrings, templates, tokenbin, toxicity
+from . import fuzzylines, jaccard, neighbours, packing, positional, secrets, substrings, templates, tokenbin, toxicity
 
 #: name -> file of the tokenizer; the files stay where they are installed.
 TOKENIZERS = {"op1": "byte_bpe_50k.json", "op3": "word_bpe_49k.json"}
@@ -48,6 +48,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzylines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = positional.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13, share=20)
     return out.drop("hits")
@@ -69,7 +73,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op4_neighbours, op5_secrets, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_main_text)}
+    return {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_packing, op4_neighbours, op5_secrets, op6_fuzzy_lines, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:

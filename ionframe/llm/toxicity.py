@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .shared import need
+from .shared import need, small_batches
 
 #: Letters that a sign may stand for.
 SIGNS = {
@@ -292,3 +292,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id").slice(block.first, len(block)).cast(pa.int64()), pa.array(model.score(block, decoder))], ["doc_id", "score"])
 
     return need(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(model.counts)
+        for batch in batches:
+            scores = [model.score(block, decoder) for block in tb.blocks(tb.text_of(batch))]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
