@@ -7,6 +7,8 @@ does not use are pruned, the decoding of arrays among them.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,21 +133,28 @@ def values(term: str, strict: bool = True) -> Column:
     return F.when(has_array(term), decoded)
 
 
-def _common(strict: bool) -> list[Column]:
-    arrays = F.transform("binaryDataArrayList.binaryDataArray", binary_array)
-    return [
-        F.col("_id").alias("id"),
-        P.to_int(F.col("_index")).alias("index"),
-        P.to_int(F.col("_defaultArrayLength")).alias("default_array_length"),
-        F.col("_dataProcessingRef").alias("data_processing_ref"),
-        F.col("_sourceFileRef").alias("source_file_ref"),
-        F.col("cvParam").alias("cv_params"),
-        F.col("userParam").alias("user_params"),
-        P.ref_params().alias("ref_params"),
-        P.accessions().alias("accessions"),
-        P.names().alias("names"),
-        _array(arrays).alias("binary_arrays"),
-    ]
+def _some(columns: dict[str, Callable[[], Column]], only: Iterable[str] | None) -> list[Column]:
+    """The named columns; their expressions are built only if they are asked for, as building all of them takes the planner seconds."""
+    wanted = list(columns) if only is None else list(only)
+    if unknown := [c for c in wanted if c not in columns]:
+        raise ValueError(f"no such columns: {unknown}")
+    return [columns[c]().alias(c) for c in wanted]
+
+
+def _common(strict: bool) -> dict[str, Callable[[], Column]]:
+    return {
+        "id": lambda: F.col("_id"),
+        "index": lambda: P.to_int(F.col("_index")),
+        "default_array_length": lambda: P.to_int(F.col("_defaultArrayLength")),
+        "data_processing_ref": lambda: F.col("_dataProcessingRef"),
+        "source_file_ref": lambda: F.col("_sourceFileRef"),
+        "cv_params": lambda: F.col("cvParam"),
+        "user_params": lambda: F.col("userParam"),
+        "ref_params": lambda: P.ref_params(),
+        "accessions": lambda: P.accessions(),
+        "names": lambda: P.names(),
+        "binary_arrays": lambda: _array(F.transform("binaryDataArrayList.binaryDataArray", binary_array)),
+    }
 
 
 def _others(df: DataFrame) -> list[Column]:
@@ -156,8 +165,8 @@ def _others(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c not in record]
 
 
-def spectra(records: DataFrame, strict: bool = False, compat_polarity: bool = False, groups: DataFrame | None = None) -> DataFrame:
-    """One row a spectrum.  ``groups``: param groups (id, params) to resolve references with; as they are by default, unresolved."""
+def spectra(records: DataFrame, strict: bool = False, compat_polarity: bool = False, groups: DataFrame | None = None, only: Iterable[str] | None = None) -> DataFrame:
+    """One row a spectrum, with all typed columns or just those named by ``only``.  ``groups``: param groups (id, params) to resolve references with; as they are by default, unresolved."""
     if groups is not None:
         from .refs import resolve_groups
 
@@ -172,39 +181,37 @@ def spectra(records: DataFrame, strict: bool = False, compat_polarity: bool = Fa
             return F.when(bad, F.raise_error(F.lit(f"{name} needs exactly one scan")).cast("double")).otherwise(out)
         return out
 
-    return records.select(
-        *_others(records),
-        *_common(strict),
-        F.col("_spotID").alias("spot_id"),
-        P.by_enum(None, V.SPECTRUM_TYPE).alias("spectrum_type"),
-        P.by_enum(None, V.COMPAT_POLARITY if compat_polarity else V.POLARITY).alias("polarity"),
-        P.to_double(P.cv_value(None, "MS:1000285"), strict).alias("tic"),
-        P.to_int(P.cv_value(None, "MS:1000511"), strict).alias("ms_level"),
-        P.by_document(F.col("scanList"), V.SPECTRUM_COMBINATION).alias("spectra_combination"),
-        F.col("scanList").isNotNull().alias("has_scan_list"),
-        F.coalesce(F.size(scans) == 1, F.lit(False)).alias("is_single_scan"),
-        _array(scans).alias("scans"),
-        limit("lower_scan_window_limit").alias("lower_scan_window_limit"),
-        limit("upper_scan_window_limit").alias("upper_scan_window_limit"),
-        F.col("precursorList").isNotNull().alias("has_precursors"),
-        _array(F.transform("precursorList.precursor", lambda p: precursor(p, strict))).alias("precursors"),
-        F.col("productList").isNotNull().alias("has_products"),
-        _array(F.transform("productList.product", lambda p: product(p, strict))).alias("products"),
-        values("MS:1000514").alias("mz"),
-        values("MS:1000515").alias("intensity"),
-    )
-
-
-def chromatograms(records: DataFrame, strict: bool = False) -> DataFrame:
+    columns = _common(strict) | {
+        "spot_id": lambda: F.col("_spotID"),
+        "spectrum_type": lambda: P.by_enum(None, V.SPECTRUM_TYPE),
+        "polarity": lambda: P.by_enum(None, V.COMPAT_POLARITY if compat_polarity else V.POLARITY),
+        "tic": lambda: P.to_double(P.cv_value(None, "MS:1000285"), strict),
+        "ms_level": lambda: P.to_int(P.cv_value(None, "MS:1000511"), strict),
+        "spectra_combination": lambda: P.by_document(F.col("scanList"), V.SPECTRUM_COMBINATION),
+        "has_scan_list": lambda: F.col("scanList").isNotNull(),
+        "is_single_scan": lambda: F.coalesce(F.size("scanList.scan") == 1, F.lit(False)),
+        "scans": lambda: _array(scans),
+        "lower_scan_window_limit": lambda: limit("lower_scan_window_limit"),
+        "upper_scan_window_limit": lambda: limit("upper_scan_window_limit"),
+        "has_precursors": lambda: F.col("precursorList").isNotNull(),
+        "precursors": lambda: _array(F.transform("precursorList.precursor", lambda p: precursor(p, strict))),
+        "has_products": lambda: F.col("productList").isNotNull(),
+        "products": lambda: _array(F.transform("productList.product", lambda p: product(p, strict))),
+        "mz": lambda: values("MS:1000514"),
+        "intensity": lambda: values("MS:1000515"),
+    }
+    return records.select(*_others(records), *_some(columns, only))
+
+
+def chromatograms(records: DataFrame, strict: bool = False, only: Iterable[str] | None = None) -> DataFrame:
     """One row a chromatogram; time is in the unit in which it is stored."""
-    return records.select(
-        *_others(records),
-        *_common(strict),
-        P.by_enum(None, V.CHROMATOGRAM_TYPE).alias("chromatogram_type"),
-        F.col("precursor").isNotNull().alias("has_precursor"),
-        F.when(F.col("precursor").isNotNull(), precursor(F.col("precursor"), strict)).alias("precursor"),
-        F.col("product").isNotNull().alias("has_product"),
-        F.when(F.col("product").isNotNull(), product(F.col("product"), strict)).alias("product"),
-        values("MS:1000595").alias("time"),
-        values("MS:1000515").alias("intensity"),
-    )
+    columns = _common(strict) | {
+        "chromatogram_type": lambda: P.by_enum(None, V.CHROMATOGRAM_TYPE),
+        "has_precursor": lambda: F.col("precursor").isNotNull(),
+        "precursor": lambda: F.when(F.col("precursor").isNotNull(), precursor(F.col("precursor"), strict)),
+        "has_product": lambda: F.col("product").isNotNull(),
+        "product": lambda: F.when(F.col("product").isNotNull(), product(F.col("product"), strict)),
+        "time": lambda: values("MS:1000595"),
+        "intensity": lambda: values("MS:1000515"),
+    }
+    return records.select(*_others(records), *_some(columns, only))

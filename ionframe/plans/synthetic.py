@@ -171,3 +171,16 @@ def nation_headers(nation: DataFrame, supplier: DataFrame, customer: DataFrame)
         version=F.concat(F.lit("1.1."), k.cast("string")),
     )
     return nation.join(s, "n_nationkey", "left").join(c, "n_nationkey", "left").select(k.alias("doc"), xml.alias("xml"))
+
+
+def status_groups(orders: DataFrame) -> DataFrame:
+    """doc, xml: a header with one parameter group for each order status; that of F has two parameters."""
+    each = orders.select("o_orderstatus").distinct()
+    group = element(
+        "referenceableParamGroup",
+        when(F.col("o_orderstatus") == "F", cv("MS:1000579", "MS1 spectrum")),
+        cv("MS:1000529", "instrument serial number", "7"),
+        id=F.concat(F.lit("status_"), F.col("o_orderstatus")),
+    )
+    body = F.array_join(F.array_sort(F.collect_list(group)), "")
+    return each.agg(element("mzML", F.concat(F.lit("<referenceableParamGroupList>"), body, F.lit("</referenceableParamGroupList>")), id="groups").alias("xml")).select(F.lit(0).alias("doc"), "xml")

@@ -22,7 +22,8 @@ def read_records(spark: SparkSession, path: str | list[str], record: str, keep_c
     raw = spark.read.format("xml").options(**OPTIONS | {"rowTag": record, "mode": mode}).schema(RECORDS[record]).load(path)
     raw = raw.withColumn("source_file", F.col("_metadata.file_path"))
     if not keep_corrupt:
-        raw = raw.where(F.col("_corrupt_record").isNull()) if mode == "PERMISSIVE" else raw
+        # the second condition always holds; Spark refuses to read the corrupt record alone
+        raw = raw.where(F.col("_corrupt_record").isNull() & (F.length(F.coalesce("_id", F.lit(""))) >= 0)) if mode == "PERMISSIVE" else raw
     if ordinal:
         # a file is never split, and this stands right above its scan, so ids ascend in document order
         raw = raw.withColumn("_at", F.monotonically_increasing_id())
