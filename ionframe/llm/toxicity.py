@@ -38,7 +38,7 @@ SIGNS = {
 SEPARATORS = " .-_*'"
 LETTERS = 28  # a-z, another letter, edge
 OTHER, EDGE = 26, 27
-SIGN_COST, SHRINK_COST, KEEP_COST, DROP_COST, SEPARATOR_COST = 0.7, 0.3, 2.0, 6.0, 0.3
+SIGN_COST, SHRINK_COST, KEEP_COST, DROP_COST, SEPARATOR_COST = 0.7, 0.3, 2.0, 15.0, 0.3
 BEGINNINGS = (4, 5, 6, 7, 8)
 _CODE = np.full(256, EDGE, np.uint8)
 _CODE[0x61:0x7B] = _CODE[0x41:0x5B] = np.arange(26)
