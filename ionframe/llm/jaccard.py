@@ -15,10 +15,11 @@ the next power if the larger may lie there), so the pairs of a set stay in propo
 size.  Shingles with an estimate of 1 occur in no other document and are not indexed.
 
 Links.  Equal sets are grouped by a 128-bit fingerprint first and stand as one.  In each
-index entry the documents are paired with the entry's first document only; each document is
-verified with the one that it meets most often.  Entries whose documents are then in one
-component are done with; in the others, pairs across components are verified, except where
-the distances to a common document rule the link out (the Jaccard distance is a metric).
+index entry the documents are paired with one head only, the document that is in most
+entries; each document is verified with the head that it meets most often.  Entries whose
+documents are then in one component are done with; in the others, pairs across components
+are verified, except where a link is ruled out by the number of shingles that only one
+document has, or by the distances to a common head (the Jaccard distance is a metric).
 So copies are not expanded into pairs, and no component is missed.
 
 Words are runs of other bytes than 0x20 and 0x09-0x0D after lower-casing A-Z.  Documents
@@ -115,7 +116,7 @@ def signatures(x: np.ndarray, count: np.ndarray, share: int = 75, whole: int = 1
 
 
 STATS = "chunk int, doc_id long, n long, f long, g long"
-ROWS = "chunk int, doc_id long, n long, f long, g long, lead boolean, signatures array<long>"
+ROWS = "chunk int, doc_id long, n long, f long, g long, lead boolean, r long, signatures array<long>"
 
 
 def _index(docs: DataFrame, layout: sketch.Layout, k: int, share: int, whole: int, rare: int) -> DataFrame:
@@ -145,10 +146,11 @@ def _index(docs: DataFrame, layout: sketch.Layout, k: int, share: int, whole: in
             me = (int(doc_id[i]), f)
             lead = len(x) > 0 and me not in skip and me not in met
             met.add(me)
-            out.append((key[0].as_py(), int(doc_id[i]), len(x), f, g, lead, signatures(x, count[at[i] : at[i + 1]], share, whole, rare).view(np.int64) if lead else None))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "doc_id", "n", "f", "g", "lead", "signatures"])
+            own = count[at[i] : at[i + 1]]
+            out.append((key[0].as_py(), int(doc_id[i]), len(x), f, g, lead, int((own > 1).sum()), signatures(x, own, share, whole, rare).view(np.int64) if lead else None))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "doc_id", "n", "f", "g", "lead", "r", "signatures"])
 
     by_chunk = docs.groupBy("chunk")
     stat = by_chunk.applyInArrow(stats, STATS).where("n > 0")
@@ -197,12 +199,17 @@ def join(docs: DataFrame, k: int = 5, share: int = 75, whole: int = 100, rare: i
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     docs, layout = sketch.chunked(need(docs, ["doc_id", "text"]), chunk_bytes)
     rows = written(_index(docs, layout, k, share, whole, rare), "jaccard-index")
-    entries = rows.where("lead").select("doc_id", "chunk", "f", "n", F.explode("signatures").alias("s"))
-    heads = entries.groupBy("s").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("tail > head").select("s", "head")
-    entries = written(entries.join(heads, "s"), "jaccard-entries")
-    close = f"{whole} * least(nu, nv) >= {share} * greatest(nu, nv)"
-    # each document with the first document that it meets in most entries
-    met = entries.where("doc_id <> head").groupBy("doc_id", "head").agg(F.count(F.lit(1)).alias("c"))
+    entries = rows.where("lead").select("doc_id", "chunk", "f", "n", "r", F.explode("signatures").alias("s"))
+    shared = entries.groupBy("s").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("s")
+    entries = written(entries.join(shared, "s"), "jaccard-entries")
+    # what no other document has can't be common: r are the other shingles
+    close = lambda r, q, n, m: f"{whole + share} * least({r}, {q}) >= {share} * ({n} + {m})"
+    # the head of an entry is the document that is in most entries: of edited copies, that which they were made of
+    often = entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    heads = entries.select("s", "doc_id", "n", "r").join(often, "doc_id").groupBy("s").agg(F.max(F.struct("c", -F.col("doc_id"), "n", "r")).alias("h"))
+    heads = heads.select("s", (-F.col("h.col2")).alias("head"), F.col("h.n").alias("hn"), F.col("h.r").alias("hr"))
+    # each document with the head that it meets in most entries
+    met = entries.join(heads, "s").where(F.col("doc_id") != F.col("head")).where(close("r", "hr", "n", "hn")).groupBy("doc_id", "head").agg(F.count(F.lit(1)).alias("c"))
     first = met.groupBy("doc_id").agg(F.max_by("head", F.struct("c", -F.col("head"))).alias("head"))
     pairs = first.select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
     items = written(_wanted_sets(docs, entries.select("chunk", "doc_id", "f").distinct(), k), "jaccard-sets")
@@ -212,17 +219,17 @@ def join(docs: DataFrame, k: int = 5, share: int = 75, whole: int = 100, rare: i
     labels = components(links)
     # entries that still hold several components
     known = one.select(F.col("u").alias("doc_id"), F.col("v").alias("by"), (1 - F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))).alias("far"))
-    own = rows.where("lead").select("doc_id", "n").join(labels, F.col("doc_id") == F.col("node"), "left").join(known, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.coalesce("by", "doc_id").alias("by"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    own = rows.where("lead").select("doc_id", "n", "r").join(labels, F.col("doc_id") == F.col("node"), "left").join(known, "doc_id", "left").select("doc_id", "n", "r", F.coalesce("component", "doc_id").alias("c"), F.coalesce("by", "doc_id").alias("by"), F.coalesce("far", F.lit(0.0)).alias("far"))
     rest = entries.select("s", "doc_id").join(own, "doc_id")
     mixed = rest.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("s", "c0")
     rest = written(rest.join(mixed, "s"), "jaccard-mixed")
-    a = rest.where("c <> c0").select("s", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"), F.col("by").alias("bu"), F.col("far").alias("fu"))
-    b = rest.select("s", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), F.col("by").alias("bv"), F.col("far").alias("fv"), "c0")
+    a = rest.where("c <> c0").select("s", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("r").alias("ru"), F.col("c").alias("cu"), F.col("by").alias("bu"), F.col("far").alias("fu"))
+    b = rest.select("s", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("r").alias("rv"), F.col("c").alias("cv"), F.col("by").alias("bv"), F.col("far").alias("fv"), "c0")
     reach = 1 - share / whole + 1e-9
-    more = a.join(b, (a["s"] == b["s"]) & (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("c0")) | (F.col("u") > F.col("v"))) & F.expr(close) & ((F.col("bu") != F.col("bv")) | (F.abs(F.col("fu") - F.col("fv")) <= reach)))
+    more = a.join(b, (a["s"] == b["s"]) & (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("c0")) | (F.col("u") > F.col("v"))) & F.expr(close("ru", "rv", "nu", "nv")) & ((F.col("bu") != F.col("bv")) | (F.abs(F.col("fu") - F.col("fv")) <= reach)))
     more = more.select("u", "v").distinct().join(one.select("u", "v"), ["u", "v"], "left_anti")
-    two = verified(more, items).where(linked).select("u", "v")
-    final = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(two))
+    two = written(verified(more, items).where(linked).select("u", "v"), "jaccard-more")
+    final = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(two)) if two.head(1) else labels
     lead = rows.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("first"))
     out = rows.select("doc_id", "n", "f", "g").join(lead, ["n", "f", "g"], "left").join(final.select(F.col("node").alias("first"), "component"), "first", "left")
     back = lambda c: F.when(c == LAST, None).otherwise(c)
