@@ -22,3 +22,15 @@ def test_op6_chains(spark):
             words[rng.randrange(40)] = f"changed{rng.randint(0, 9999)}"
     assert all(fuzzylines.jaccard(a, b) >= 0.85 for k, (a, b) in enumerate(zip(lines, lines[1:])) if k + 1 not in firsts)
     assert lines_left(spark, lines) == firsts
+
+
+def test_op6_no_spaces(spark):
+    """Near copies that differ in their first characters, without spaces to begin a shingle at."""
+    rng = random.Random(4)
+    text = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(80)) for _ in range(40)]
+    lines = text + ["\u65b0" + t[1:] for t in text]
+    assert lines_left(spark, lines) == list(range(40))
+    same = ["https://example.org/" + t for t in text]
+    assert lines_left(spark, same) == list(range(40))
+    short = [f"{a}{a}{b}{b} all rights reserved {a}{b}" for a in "pqrst" for b in "vwxyz"]
+    assert lines_left(spark, short + [s + "." for s in short]) == list(range(25))
