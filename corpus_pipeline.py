@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which nothing is left."""
-    out = fuzzylines.dedup(docs)
+    out = fuzzylines.dedup(docs, least=1)
     out = out.where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

@@ -49,7 +49,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzylines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fuzzylines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

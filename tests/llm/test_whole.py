@@ -2,7 +2,9 @@
 
 import random
 
-from ionframe.llm import fuzzylines
+from pyspark.sql import functions as F
+
+from ionframe.llm import fuzzylines, queries
 
 
 def lines_left(spark, lines, **more):
@@ -34,3 +36,16 @@ def test_op6_no_spaces(spark):
     assert lines_left(spark, same) == list(range(40))
     short = [f"{a}{a}{b}{b} all rights reserved {a}{b}" for a in "pqrst" for b in "vwxyz"]
     assert lines_left(spark, short + [s + "." for s in short]) == list(range(25))
+
+
+def test_op6_short_lines(spark, tmp_path):
+    """The query and the pipeline judge lines of every length; blank ones stay."""
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\n\nles.\n\t\nx"), (2, "one\n\nles. \n\t\nall rights reserved!\nx\r"), (3, "X\ntwo\n\n\u6771\u4eac"), (4, "\u6771\u4eac"), (5, "\r\n\r\nkept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op6_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "one\n\n\t\nx\r", 3: "two\n\n\u6771\u4eac", 4: "", 5: rows[4][1]}
+    staged = corpus_pipeline.lines_stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")), str(tmp_path))
+    assert {r.doc_id: r.text for r in staged.collect()} == {k: v for k, v in got.items() if k != 4}
