@@ -3,9 +3,9 @@
 Base spans are what three patterns find, leftmost and non-overlapping for each kind.  Other
 parts of credentials are too weak to be reported alone: identifiers (user names, client ids),
 endpoints (addresses), and secrets that are short or merely look random.  Parts lie in
-scopes: stretches of text without a blank line.  An interval join within each scope pairs
-parts that are at most ``reach`` code points apart, and weak parts are reported only where
-complementary ones meet:
+scopes: stretches of text without a blank line.  Parts of one scope are joined however far
+apart they are, if they do not overlap, and weak parts are reported only where complementary
+ones meet:
 
     identifier   with a secret (base or weak)
     secret       a weak one, with an identifier (an access span or a weak one)
@@ -28,7 +28,6 @@ from .shared import need
 
 #: In the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
-REACH = 200
 
 
 def _either(word: str) -> str:
@@ -40,8 +39,10 @@ _ASSIGN = re.compile(rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = "|".join(map(_either, ("username", "user", "login", "account", "client_id", "access_key_id", "access_key")))
-_IDENTIFIER = re.compile(rf"(?<![A-Za-z0-9])(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{{3,}})")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_IDENTIFIER = re.compile(rf"(?<![A-Za-z0-9])(?<!{_either('secret')}[_-])(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{{3,}})")
+#: Names of secrets that the base pattern does not know.
+_SECRET_KEY = re.compile(rf"{_either('secret')}[_-]?(?:{_either('access')}[_-]?)?{_either('key')}[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{{6,}})")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{20,}={0,2}")
 _ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
@@ -63,8 +64,12 @@ def weak_parts(text: str) -> list[tuple[int, int, int]]:
         return []  # no identifier of any strength: nothing weak can be linked
     if assigned:
         out += [(m.start(), 4, m.end()) for m in _ASSIGN.finditer(text) if 6 <= m.end(2) - m.start(2) < 12]
+        out += [(m.start(), 4, m.end()) for m in _SECRET_KEY.finditer(text)]
+    named = _Intervals([p for p in out if p[1] == 4])
     for m in _OPAQUE.finditer(text):
         x = m[0]
+        if named.meets(m.start(), m.end()):
+            continue
         if any(c.isdigit() for c in x) and any(c.isupper() for c in x) and any(c.islower() for c in x):
             out.append((m.start(), 4, m.end()))
     if "://" in text:
@@ -73,61 +78,60 @@ def weak_parts(text: str) -> list[tuple[int, int, int]]:
 
 
 class _Intervals:
-    """Parts of one role, for joins by distance."""
+    """Parts by start."""
 
     def __init__(self, parts: list[tuple[int, int, int]]):
         self.parts = sorted(parts)
         self.start = [p[0] for p in self.parts]
         self.longest = max((p[2] - p[0] for p in self.parts), default=0)
 
-    def near(self, part: tuple[int, int, int], reach: int, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
-        """Those in the scope lo .. hi with a gap of at most reach to the part, and no overlap."""
-        a, b = max(lo, part[0] - reach - self.longest), min(hi, part[2] + reach + 1)
-        for p in self.parts[bisect_left(self.start, a) : bisect_left(self.start, b)]:
-            if p[2] <= part[0] and part[0] - p[2] <= reach or p[0] >= part[2] and p[0] - part[2] <= reach:
-                yield p
+    def meets(self, start: int, end: int) -> bool:
+        """Whether one of them overlaps start .. end."""
+        return any(p[0] < end and start < p[2] for p in self.parts[bisect_left(self.start, start - self.longest) : bisect_right(self.start, end)])
 
 
-def linked(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
+def _apart(parts: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The parts that do not overlap every one of the others."""
+    if not others:
+        return []
+    end, start = min(p[2] for p in others), max(p[0] for p in others)
+    return [p for p in parts if end <= p[0] or start >= p[2]]
+
+
+def linked(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The weak parts to report."""
-    weak = weak_parts(text)
     covered = _Intervals(base)
-    weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in covered.parts[bisect_left(covered.start, w[0] - covered.longest) : bisect_right(covered.start, w[2])])]
+    weak = [w for w in weak_parts(text) if not covered.meets(w[0], w[2])]
     if not weak:
         return []
-    ids = _Intervals([b for b in base if b[1] == 1] + [w for w in weak if w[1] == 3])
-    secrets = _Intervals([b for b in base if b[1] != 1] + [w for w in weak if w[1] == 4])
-    ends = _Intervals([w for w in weak if w[1] == 5])
     cuts = [m.start() for m in _BLANK.finditer(text)]
-    out: set[tuple[int, int, int]] = set()
-    for i in ids.parts:
-        k = bisect_right(cuts, i[0])
-        lo, hi = cuts[k - 1] if k else 0, cuts[k] if k < len(cuts) else len(text)
-        mates = list(secrets.near(i, reach, lo, hi))
-        if mates:
-            out.add(i)
-            out.update(mates)
-            for m in mates:
-                out.update(e for e in ends.near(m, reach, lo, hi))
-                out.update(e for e in ends.near(i, reach, lo, hi))
+    scopes: dict[int, list[tuple[int, int, int]]] = {}
+    for p in base + weak:
+        scopes.setdefault(bisect_right(cuts, p[0]), []).append(p)
+    out: list[tuple[int, int, int]] = []
+    for parts in scopes.values():
+        ids = [p for p in parts if p[1] in (1, 3)]
+        secrets = [p for p in parts if p[1] in (0, 2, 4)]
+        both = _apart(ids, secrets) + _apart(secrets, ids)
+        out += both + _apart([p for p in parts if p[1] == 5], both)
     return [p for p in out if p[1] > 2]
 
 
-def spans(text: str, reach: int = REACH) -> list[tuple[int, int, int]]:
+def spans(text: str) -> list[tuple[int, int, int]]:
     base = base_spans(text)
-    return sorted(base + linked(text, base, reach))
+    return sorted(base + linked(text, base))
 
 
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
 
-def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, spans (by start, then kind)."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(t.as_py() or "", reach)] for t in batch.column("text")]
+            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(t.as_py() or "")] for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(rows, kind)], ["doc_id", "spans"])
 
     return need(docs, ["doc_id", "text"]).mapInArrow(run, SPANS)

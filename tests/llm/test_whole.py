@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ionframe.llm import fuzzylines, queries
+from ionframe.llm import fuzzylines, queries, secrets
 
 
 def lines_left(spark, lines, **more):
@@ -49,3 +49,17 @@ def test_op6_short_lines(spark, tmp_path):
     assert got == {1: rows[0][1], 2: "one\n\n\t\nx\r", 3: "two\n\n\u6771\u4eac", 4: "", 5: rows[4][1]}
     staged = corpus_pipeline.lines_stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")), str(tmp_path))
     assert {r.doc_id: r.text for r in staged.collect()} == {k: v for k, v in got.items() if k != 4}
+
+
+def test_op5_multipart():
+    """Secrets right after an equals sign, and parts at the two ends of a scope."""
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    shown = lambda text: [(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.spans(text)]
+    access = "AKIA" + "Q7" * 8
+    for name, found in (("AWS_SECRET_ACCESS_KEY=", f"SECRET_ACCESS_KEY={key}"), ("secret_key=", f"secret_key={key}"), ("x=", key), ("x: ", key), ('x="', key)):
+        assert shown(f"AWS_ACCESS_KEY_ID={access}\n{name}{key}") == [("access", access), ("secret", found)]
+    far = "user: bob\n" + "setting one\n" * 300 + "password = hunter22"
+    assert shown(far) == [("identifier", "user: bob"), ("secret", "password = hunter22")]
+    assert shown(far.replace("one\n", "one\n\n", 1)) == []
+    long = "user: bob\npassword = hunter22\n" * 20_000
+    assert len(secrets.spans(long)) == 40_000
