@@ -2,9 +2,10 @@
 
 1. A character language model (trigrams over a-z, one sign for other letters, one for the
    edge of a word) is counted over all documents.
-2. Words that look disguised (signs or digits among letters, letters three times in a row,
-   rows of single letters) are decoded: a lattice has, for each sign, the letters that it
-   may stand for; runs may shrink; separators between single letters vanish.  Viterbi
+2. Words that look disguised (signs or digits beside letters, letters three times in a row,
+   rows of single letters and signs) are decoded, with the signs at their ends and, if a
+   disguise is left, without: a lattice has, for each sign, the letters that it may stand
+   for; runs may shrink; separators between single letters vanish.  Viterbi
    search finds the letters of least cost under channel and language model.
 3. The restored words, and the plain ones, are looked up among signals: words and word
    beginnings that labelled toxic documents have more often than others.  Four summaries of
@@ -19,6 +20,7 @@ Equal doc_ids stay separate documents; other columns take no part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +47,9 @@ _CODE[0x61:0x7B] = _CODE[0x41:0x5B] = np.arange(26)
 _CODE[0x80:] = OTHER
 _LETTER = _CODE < EDGE
 _SIGN = tb.table("".join(SIGNS))
+#: Punctuation at the ends of a word, that which is no sign, and all.
+PLAIN_ENDS, ENDS = ".,;:?\"')]}>", ".,;:!?\"')]}>*#$%&"
+_RUN = re.compile(r"(.)\1{3,}", re.S)
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -75,12 +80,17 @@ class Decoder:
         back = (c.sum(0) + 0.1 * one.sum() / max(1, one.sum()) / LETTERS) + 0.5
         back = back / back.sum(1, keepdims=True)
         self.cost = (-np.log((c + 5 * back[None]) / (pair + 5))).tolist()
-        self.decode = lru_cache(100_000)(self._decode)
+        self._cached = lru_cache(100_000)(self._decode)
+
+    def decode(self, word: str) -> str:
+        word = _RUN.sub(r"\1\1\1", word)
+        return self._cached(word) if len(word) <= 64 else self._decode(word)
 
     @staticmethod
     def lattice(word: str) -> list[list[tuple[str, float]]]:
         """For each place the strings that it may stand for, with costs."""
         out, i = [], 0
+        spaced = len(word) > 4 and len(word) % 2 == 1 and all(c in SEPARATORS for c in word[1::2]) and not any(c in SEPARATORS for c in word[::2])
         while i < len(word):
             c, j = word[i], i
             while j < len(word) and word[j] == c:
@@ -93,7 +103,7 @@ class Decoder:
                     out.append([(c * run, 0.0)])
             else:
                 read = [(x, SIGN_COST) for x in SIGNS.get(c, "")]
-                out.append(read + [("", SEPARATOR_COST if c in SEPARATORS and not read else DROP_COST)])
+                out.append(read + [("", SEPARATOR_COST if c in SEPARATORS and (spaced or not read) else DROP_COST)])
                 if run > 1 and read:
                     out += [[(x * 1, SIGN_COST) for x, _ in read] + [("", SHRINK_COST)]] * (run - 1)
             i = j
@@ -101,10 +111,11 @@ class Decoder:
 
     def _decode(self, word: str) -> str:
         """The likeliest letters."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        # the letters as a chain of (letters before, letters)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         cost = self.cost
         for place in self.lattice(word):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (total, text) in states.items():
                 for letters, extra in place:
                     x, y, t = a, b, total + extra
@@ -113,13 +124,18 @@ class Decoder:
                         t += cost[x][y][z]
                         x, y = y, z
                     if (x, y) not in new or t < new[x, y][0]:
-                        new[x, y] = (t, text + letters)
+                        new[x, y] = (t, (text, letters) if letters else text)
             states = new
-        return min((t + cost[a][b][EDGE], text) for (a, b), (t, text) in states.items())[1]
+        text = min(((t + cost[a][b][EDGE], (a, b), text) for (a, b), (t, text) in states.items()), key=lambda x: x[:2])[2]
+        parts = []
+        while text:
+            text, letters = text
+            parts.append(letters)
+        return "".join(reversed(parts))
 
 
 def disguised(block: tb.Block) -> list[tuple[int, str]]:
-    """(document, word) of the words to decode, lower-case; rows of single letters as one word."""
+    """(document, word) of the words to decode, lower-case; rows of single letters and signs as one word."""
     words = block.words()
     d, n = words.data, len(words)
     if not n:
@@ -127,26 +143,28 @@ def disguised(block: tb.Block) -> list[tuple[int, str]]:
     letter, sign = _LETTER[d], _SIGN[d]
     odd = np.zeros(len(d) + 1, bool)
     odd[:-2] |= sign[:-1] & letter[1:]  # a sign before a letter
+    odd[1:-1] |= sign[1:] & letter[:-1]  # or after one
     low = tb.LOWER[d]
     odd[:-3] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (_CODE[d[:-2]] < OTHER)
     count = np.append(0, np.cumsum(odd[:-1]))
     found = count[words.end] > count[words.start]
     n_letters = np.append(0, np.cumsum(letter))
-    lone = (n_letters[words.end] - n_letters[words.start] == 1) & (words.end - words.start <= 2) & letter[words.start] & (_CODE[d[words.start]] < OTHER)
-    lone[:] = lone & (words.end - words.start == 1)
-    # single letters with separators inside one word: a letter after each separator, one each
+    mark = sign | letter & (_CODE[d] < OTHER)
+    lone = (words.end - words.start == 1) & mark[words.start]
+    # single letters and signs with separators inside one word: one after each separator
     dots = np.zeros(len(d) + 1, bool)
     sep = tb.table(".-_*'")[d]
-    dots[1:-2] = sep[1:-1] & letter[:-2] & letter[2:]
+    one = (letter | sign) & ~sep
+    dots[1:-2] = sep[1:-1] & one[:-2] & one[2:]
     dotted = np.append(0, np.cumsum(dots[:-1]))
     size = words.end - words.start
-    found |= (dotted[words.end] - dotted[words.start]) * 2 + 1 >= np.maximum(size - 1, 5)
-    out = [(int(words.doc[i]), d[words.start[i] : words.end[i]].tobytes().decode().lower()) for i in np.flatnonzero(found & (size <= 64)).tolist()]
+    found |= ((dotted[words.end] - dotted[words.start]) * 2 + 1 >= np.maximum(size - 1, 5)) & (n_letters[words.end] > n_letters[words.start])
+    out = [(int(words.doc[i]), d[words.start[i] : words.end[i]].tobytes().decode().lower()) for i in np.flatnonzero(found).tolist()]
     edge = np.diff(np.concatenate([[0], lone.astype(np.int8), [0]]))
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
         for doc in np.unique(words.doc[a:b]).tolist():
             own = [i for i in range(a, b) if words.doc[i] == doc]
-            if len(own) > 2:
+            if len(own) > 2 and sum(bool(letter[words.start[i]]) for i in own) > 1:
                 out.append((doc, " ".join(chr(d[words.start[i]]) for i in own).lower()))
     return out
 
@@ -159,7 +177,11 @@ def features(block: tb.Block, decoder: Decoder) -> tuple[np.ndarray, np.ndarray,
     if hidden:
         texts: dict[int, list[str]] = {}
         for i, w in hidden:
-            texts.setdefault(i, []).append(decoder.decode(w.strip(".,;:!?\"')]}>*#$%&")))
+            own = texts.setdefault(i, [])
+            whole, inner = w.strip(PLAIN_ENDS), w.strip(ENDS)
+            own.append(decoder.decode(whole))
+            if inner != whole and not inner.isalpha():
+                own.append(decoder.decode(inner))
         more = next(tb.blocks(pa.array([" ".join(x) for x in texts.values()]), 1 << 40))
         doc2, key2 = _features(more)
         doc, key = np.concatenate([doc, np.array(list(texts))[doc2]]), np.concatenate([key, key2])

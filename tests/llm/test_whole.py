@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ionframe.llm import fuzzylines, queries, secrets
+from ionframe.llm import fuzzylines, queries, secrets, toxicity
 
 
 def lines_left(spark, lines, **more):
@@ -63,3 +63,26 @@ def test_op5_multipart():
     assert shown(far.replace("one\n", "one\n\n", 1)) == []
     long = "user: bob\npassword = hunter22\n" * 20_000
     assert len(secrets.spans(long)) == 40_000
+
+
+def test_op9_disguises(spark):
+    """Through score(), with a model to which the plain word is the only signal."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ionframe.llm import textblocks
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = toxicity.trigram_counts(docs)
+    hidden = {
+        "stupid": ["$tup1d", "stup1d!", "st*pid"], "idiot": ["!d1ot", "i d 1 0 t", "1.d.1.0.t", "i*d*i*o*t", "idi" + "o" * 90 + "t", "idio7"], "moron": ["m0r0n,"],
+        "loser": ["l*o*s*e*r", "l-0-s-e-r"], "hello": ["hell0"],
+    }
+    for plain, words in hidden.items():
+        block = next(textblocks.blocks(pa.array([plain])))
+        signals = np.sort(np.unique(toxicity._features(block)[1]))
+        model = toxicity.Model(counts, signals, np.full(len(signals), 5.0), np.array([1.0, 1.0, 0.1, 0.1, -3.0]))
+        rows = [(i, f"one {w} two") for i, w in enumerate([*words, "other"])]
+        got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+        assert got.pop(len(words)) < 0.5
+        assert [w for i, w in enumerate(words) if got[i] < 0.5] == []
