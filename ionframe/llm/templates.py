@@ -1,18 +1,16 @@
-"""HTML extraction by equivalence-class template deduction.
-
-Tokens of a page are its tags, told apart by the path of open elements, and its pieces of
-text, told apart by path and wording.  A token's occurrence vector says how often it occurs
-in each page of the host; tokens that share one vector form an equivalence class.  Vectors
-are compared by a fingerprint (the exclusive or of a hash of page and count), which is
-aggregated before rows move; so a host of any size is never gathered in a task.  Classes
-that occur in at least ``share`` of a host's pages make up its template: they are valid if
-no two of their paths contradict each other's order, and a class is nested in that with the
-longest path above its own.  Text in a template is the host's, not the page's.
-
-The slots between template tokens hold what a page says.  Extracted are the slots of the
-article: those below article or main, if the page has them, else all; without slots below
-elements that are menus, headers, footers, sidebars, notices, adverts, forms or comments by
-their tag, role, class or id.
+"""HTML extraction: block list of elements, less the texts that a host repeats.
+
+This stands in for equivalence-class template deduction, which is not done: tokens are
+grouped by occurrence vector, but neither order nor validity of the groups is checked, they
+are not nested, and no slots are extracted.  What counts as a host's template are the
+pieces of text (told apart by path and wording) on at least ``least_pages`` of its pages and
+at least ``share`` of them.  So an article that is on half of a host's pages is taken for
+template, and texts of a page type with under half of the pages, or of a host with under
+``least_pages``, are not.
+
+Extracted are the blocks below article or main, if the page has them, else all; without
+those below elements that are menus, headers, footers, sidebars, notices, adverts, forms or
+comments by their tag, role, class or id.
 
 Output per page: blocks in page order joined by one line feed; white space in a block
 becomes one space; character references are decoded.  Null html is empty.  A null url is a
@@ -155,9 +153,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, bool, bool]], Counter]:
 def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 4) -> DataFrame:
     """host, tokens: the text tokens of each host's template; from all its pages.
 
-    A class needs ``least_pages`` pages and ``share`` of them; tokens that are alone in their
-    class count if they occur in all pages in which the class above them does, which the
-    share stands for."""
+    A text needs ``least_pages`` pages and ``share`` of the host's; its class makes no difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
