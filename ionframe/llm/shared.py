@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests on one machine."""
+    """A new path under ``spark.checkpoint.dir``; where that is unset, under a folder of the session's warehouse, which driver and executors share too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="ionframe-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,17 +31,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts can be long: batches that go to Python hold so many rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Texts can be long: batches that go to Python hold so many rows at most, for as long as the session lives (plans are made when they run, after the operator has returned)."""
+    if not 0 < int(spark.conf.get(ROWS_KEY)) <= rows:
+        spark.conf.set(ROWS_KEY, str(rows))
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For what runs inside: batches of so many rows at most."""
+    before = spark.conf.get(ROWS_KEY)
+    spark.conf.set(ROWS_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_KEY, before)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -54,7 +60,3 @@ def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Just these columns; others, however they are named, take no part."""
     small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
-def hashed(*cols: Column) -> Column:
-    return F.xxhash64(*cols)

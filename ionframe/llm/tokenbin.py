@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from . import tokens
-from .shared import need, work_dir
+from .shared import batches_of, need, work_dir, written
 
 MAGIC, END = b"IONTOK01", b"IONEND01"
 NO_ID = -(1 << 63)
@@ -140,14 +140,15 @@ def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0, vocabulary: i
 
 
 class Shard:
-    """One shard's bytes."""
+    """One shard's bytes, or a view of them; nothing is copied but the index."""
 
-    def __init__(self, content: bytes, dictionary: bytes):
+    def __init__(self, content: bytes | memoryview, dictionary: bytes):
         import zstandard
 
-        self.content = content
+        self.content = content = memoryview(content)
         at, self.n, self.n_ids, _, a, b = struct.unpack(TRAILER, content[-TRAILER_BYTES - 1 : -1])
-        head = content[: content.index(b"}") + 1]
+        head = bytes(content[:512])
+        head = head[: head.index(b"}") + 1]
         if head[:8] != MAGIC or a != END or b != END:
             raise ValueError("not a token shard")
         self.meta = json.loads(head[8:])
@@ -155,7 +156,7 @@ class Shard:
             raise ValueError("the shard was written with another dictionary")
         sizes = struct.unpack("<4Q", content[at : at + 32])
         ends = np.cumsum([at + 32, *sizes])
-        doc, offset, self.size, self.count = (tb.unpack(content[x:y], np.int64) for x, y in zip(ends[:-1], ends[1:], strict=True))
+        doc, offset, self.size, self.count = (tb.unpack(bytes(content[x:y]), np.int64) for x, y in zip(ends[:-1], ends[1:], strict=True))
         self.doc, self.offset = np.cumsum(doc), np.cumsum(offset)
         self._inflate = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
@@ -177,22 +178,26 @@ def read_dictionary(spark: SparkSession, out: str) -> bytes:
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: start counts the ids of all documents before it."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: start counts the ids of all documents before it.
+
+    A file goes to Python alone, as a batch of one row; what is read is put down, so that
+    the files are read once, and one number a file gives the starts."""
     dictionary = read_dictionary(spark, out)
     files = spark.read.format("binaryFile").load(f"{out}/shards").where(F.col("length") > TRAILER_BYTES).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()  # a worker that has encoded before holds all that it has learnt
         for batch in batches:
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(content.as_buffer().to_pybytes(), dictionary)
+                shard = Shard(memoryview(content.as_buffer()), dictionary)
                 crc = np.fromiter((zlib.crc32(shard.at(i).astype("<u4").tobytes()) for i in range(shard.n)), np.int64, shard.n)
                 doc = pa.array(shard.doc, pa.int64(), mask=shard.doc == NO_ID)
                 yield pa.record_batch([pa.array(np.full(shard.n, number, np.int32)), doc, pa.array(np.cumsum(shard.count) - shard.count), pa.array(shard.count), pa.array(crc)], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.mapInArrow(run, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    # the trailer's count of ids; one row a file
-    n_ids = F.conv(F.concat(*[F.substring(F.hex(F.expr(f"substring(content, {-TRAILER_BYTES - 1 + 16}, 8)")), 15 - 2 * k, 2) for k in range(8)]), 16, 10).cast("long")
-    before = files.select("shard", n_ids.alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    with batches_of(spark, 1):
+        rows = written(files.mapInArrow(run, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-rows")
+    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    before = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     return rows.join(before, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from .textblocks import LOWER, Block, span_hashes, table
 
 #: Pieces that a worker keeps; beyond it those that were met in one block only go, which costs time only.
-STORE_PIECES = 1_500_000
+STORE_PIECES = 1_000_000
 
 _SPACE = table("\x20\x09\x0a\x0b\x0c\x0d")
 #: Bits: 1 white space; 2 perhaps white space to some library; 4 ASCII letter; 8 punctuation, but not the apostrophe, nor < | > of which special tokens are made.
@@ -186,5 +186,10 @@ def encoder(path: str, end: int) -> Encoder:
     return _ENCODERS[path, end]
 
 
+def forget() -> None:
+    """Frees what this worker process has learnt."""
+    _ENCODERS.clear()
+
+
 def split(ids: np.ndarray, n_doc: np.ndarray) -> Iterator[np.ndarray]:
     return iter(np.split(ids, np.cumsum(n_doc)[:-1])) if len(n_doc) else iter(())
