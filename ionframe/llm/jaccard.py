@@ -24,8 +24,8 @@ So copies are not expanded into pairs, and no component is missed.
 
 Words are runs of other bytes than 0x20 and 0x09-0x0D after lower-casing A-Z.  Documents
 with fewer than k words have one shingle, all of them; without words, or null, an empty
-set, linked with nothing.  Rows with one doc_id are one node of the graph, and null doc_ids
-are one node too, larger than all; columns other than doc_id and text take no part.
+set, linked with nothing.  Rows with one doc_id are one node of the graph, linked by any of
+their texts, and null doc_ids are one node too, larger than all; columns other than doc_id and text take no part.
 """
 
 from __future__ import annotations
@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 from . import sketch
 from . import textblocks as tb
 from .components import components
-from .shared import need, written
+from .shared import give_back, need, written
 
 LAST = (1 << 63) - 1
 RARE = 64
+#: Bytes of text that a task holds at a time, with the sets of its documents.
+CHUNK_BYTES = 8 << 20
 #: The least power of two at which pairs are indexed.
 LEAST_TIER = 3
 _LOW = np.uint64((1 << 64) - 1)
@@ -115,7 +117,7 @@ def signatures(x: np.ndarray, count: np.ndarray, share: int = 75, whole: int = 1
     return np.unique(np.concatenate(out))
 
 
-STATS = "chunk int, doc_id long, n long, f long, g long"
+FIRST = "chunk int, doc_id long, n long, f long, g long, part int, cells binary, more binary"
 ROWS = "chunk int, doc_id long, n long, f long, g long, lead boolean, r long, signatures array<long>"
 
 
@@ -123,14 +125,15 @@ def _index(docs: DataFrame, layout: sketch.Layout, k: int, share: int, whole: in
     """One row a document; lead: whether it stands for its equal sets."""
     segments = layout.segments
 
-    def stats(key: tuple, table: pa.Table) -> pa.Table:
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        """Sizes and fingerprints, a row a document, and the chunk's part of the sketch."""
         doc_id, each = sets(table, k)
         prints = [fingerprint(x) for x in each]
-        return pa.table([pa.array([key[0].as_py()] * len(each), pa.int32()), pa.array(doc_id), pa.array(map(len, each), pa.int64()), *[pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)]], names=["chunk", "doc_id", "n", "f", "g"])
-
-    def partial(key: tuple, table: pa.Table) -> pa.Table:
-        each = sets(table, k)[1]
-        return sketch.partial(key[0].as_py(), np.concatenate(each) if each else np.empty(0, np.uint64), segments)
+        stats = pa.table([pa.array(np.full(len(each), key[0].as_py(), np.int32)), pa.array(doc_id), pa.array(map(len, each), pa.int64()), *[pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)]], names=["chunk", "doc_id", "n", "f", "g"])
+        part = sketch.partial(key[0].as_py(), np.concatenate(each) if each else np.empty(0, np.uint64), segments)
+        del each
+        give_back()
+        return pa.concat_tables([stats, part], promote_options="default").select([c.split()[0] for c in FIRST.split(", ")])
 
     def index(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         doc_id, each = sets(table, k)
@@ -150,13 +153,16 @@ def _index(docs: DataFrame, layout: sketch.Layout, k: int, share: int, whole: in
             out.append((key[0].as_py(), int(doc_id[i]), len(x), f, g, lead, int((own > 1).sum()), signatures(x, own, share, whole, rare).view(np.int64) if lead else None))
         cols = list(zip(*out, strict=True)) if out else [[]] * 8
         kinds = [pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+        del each, keys, count
+        give_back()
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "doc_id", "n", "f", "g", "lead", "r", "signatures"])
 
     by_chunk = docs.groupBy("chunk")
-    stat = by_chunk.applyInArrow(stats, STATS).where("n > 0")
+    seen = written(by_chunk.applyInArrow(first, FIRST), "jaccard-first")
+    stat = seen.where("n > 0").select("chunk", "doc_id", "n", "f", "g")
     lead = stat.groupBy("n", "f", "g").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     follow = stat.join(lead, ["n", "f", "g"]).where("doc_id <> first").select("chunk", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("counts"), "doc_id", "f")
-    merged = sketch.merge(by_chunk.applyInArrow(partial, sketch.PARTIAL), top=255)
+    merged = sketch.merge(seen.where("part is not null").select("chunk", "part", "cells", "more"), top=255)
     back = merged.select("chunk", "part", "counts", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("f")).unionByName(follow)
     return by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(index, ROWS)
 
@@ -171,15 +177,17 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         table = table.filter(pa.array([x in ids for x in doc_id.to_pylist()], pa.bool_())) if table.num_rows else table
         out = {}
         for d, x in zip(*sets(table, k), strict=True):
-            if (int(d), fingerprint(x)[0]) in keys:
-                out[int(d)] = x.tobytes()
-        return pa.table({"doc_id": pa.array(list(out), pa.int64()), "items": pa.array(list(out.values()), pa.binary())})
+            me = (int(d), fingerprint(x)[0])
+            if me in keys:
+                out[me] = x.tobytes()
+        give_back()
+        return pa.table({"doc_id": pa.array([d for d, _ in out], pa.int64()), "items": pa.array(list(out.values()), pa.binary())})
 
     return docs.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(pick, "doc_id long, items binary")
 
 
 def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """pairs (u, v) with their sizes and common: one row each."""
+    """pairs (u, v) with their sizes and common: one row each, or one for each two of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +203,7 @@ def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, nu long, nv long, common long")
 
 
-def join(docs: DataFrame, k: int = 5, share: int = 75, whole: int = 100, rare: int = RARE, chunk_bytes: int = sketch.CHUNK_BYTES) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, share: int = 75, whole: int = 100, rare: int = RARE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     docs, layout = sketch.chunked(need(docs, ["doc_id", "text"]), chunk_bytes)
     rows = written(_index(docs, layout, k, share, whole, rare), "jaccard-index")
@@ -218,7 +226,8 @@ def join(docs: DataFrame, k: int = 5, share: int = 75, whole: int = 100, rare: i
     links = one.where(linked).select("u", "v")
     labels = components(links)
     # entries that still hold several components
-    known = one.select(F.col("u").alias("doc_id"), F.col("v").alias("by"), (1 - F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))).alias("far"))
+    # a distance tells of one text each: of a doc_id that has several, none is known
+    known = one.groupBy(F.col("u").alias("doc_id")).agg(F.max("v").alias("by"), F.max(1 - F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))).alias("far"), F.count(F.lit(1)).alias("texts")).where("texts = 1").drop("texts")
     own = rows.where("lead").select("doc_id", "n", "r").join(labels, F.col("doc_id") == F.col("node"), "left").join(known, "doc_id", "left").select("doc_id", "n", "r", F.coalesce("component", "doc_id").alias("c"), F.coalesce("by", "doc_id").alias("by"), F.coalesce("far", F.lit(0.0)).alias("far"))
     rest = entries.select("s", "doc_id").join(own, "doc_id")
     mixed = rest.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("s", "c0")

@@ -60,3 +60,21 @@ def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Just these columns; others, however they are named, take no part."""
     small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system, so that workers that live on do not add up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate rows that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

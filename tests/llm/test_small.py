@@ -269,6 +269,11 @@ def test_op8_jaccard(spark, seed):
                 changed = True
     assert got == {d: (len(sets[d]), label[d]) for d in order}
     assert jaccard.join(frame(spark, [])).count() == 0
+    # one doc_id with two texts is linked by either
+    a, b = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    twins = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, b + " z z z"), (4, b + " z z z")]
+    for size in (100, 1 << 20):
+        assert {(r.doc_id, r.component_id) for r in jaccard.join(frame(spark, twins), chunk_bytes=size).collect()} == {(d, 1) for d in (1, 2, 3, 4)}
 
 
 def test_op9_toxicity(spark):
