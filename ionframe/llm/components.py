@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop, written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # edges point from the larger to the smaller node: u's neighbours are all smaller
         small = _with_least(large)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        drop(before)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -74,7 +74,9 @@ def give_back() -> None:
         trim(0)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of intermediate rows that nothing reads any more."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(df: DataFrame) -> None:
+    """Deletes the folder of a table made by ``written`` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -181,8 +181,11 @@ def test_op6_lines(spark):
             out.append(" ".join(words).upper() if rng.random() < 0.2 else " ".join(words))
         rows.append((i, "\n".join([*out, "short"])))
     rows += [(100, None), (101, ""), (102, "short")]
-    got = {r.doc_id: r for r in fuzzylines.dedup(frame(spark, rows).withColumn("_h", F.lit(1))).collect()}
-    occ = [(i, k, x) for i, t in rows if t for k, x in enumerate(t.split("\n")) if len(x) >= 24]
+    clash = {c: F.lit(1) for c in ("_h", "_x", "_r", "_d", "_y", "_row", "_k", "n_lines", "n_removed")}
+    done = fuzzylines.dedup(frame(spark, rows).withColumns(clash))
+    assert done.columns == ["doc_id", "text", *list(clash)[:-2], "n_lines", "n_removed"] and {tuple(r) for r in done.select(*list(clash)[:-2]).collect()} == {(1,) * 7}
+    got = {r.doc_id: r for r in done.collect()}
+    occ = [(i, k, x) for i, t in rows if t for k, x in enumerate(t.split("\n"))]
     parent = list(range(len(occ)))
 
     def find(a):
@@ -199,6 +202,9 @@ def test_op6_lines(spark):
         want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
         assert got[i].text == want, i
     assert fuzzylines.dedup(frame(spark, [])).count() == 0
+    again = [(None, "a first line\na second line"), (1, "a second line\nother"), (1, "a second line\nother"), (None, "a third\na first line"), (None, None)]
+    assert sorted((str(r.doc_id), str(r.text), r.n_removed) for r in fuzzylines.dedup(frame(spark, again)).collect())[:2] == [("1", "other", 1)] * 2
+    assert sum(r.n_removed for r in fuzzylines.dedup(frame(spark, again)).collect()) == 3
     plan = fuzzylines.dedup(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
