@@ -67,9 +67,8 @@ def has_ref_param(group: Column | None, ref: str) -> Column:
 
 def by_enum(group: Column | None, terms: Mapping[str, str], label: bool = True) -> Column:
     """The first of the terms, in their own order, that the group has."""
-    have = accessions(group)
-    out = F.coalesce(*[F.when(F.array_contains(have, a), F.lit(k if label else a)) for k, a in terms.items()])
-    return F.when(field(group, "cvParam").isNotNull(), out)
+    out = F.get(F.array_intersect(F.array(*map(F.lit, terms.values())), accessions(group)), F.lit(0))
+    return F.when(field(group, "cvParam").isNotNull(), labelled(out, terms) if label else out)
 
 
 def by_document(group: Column | None, terms: Mapping[str, str], label: bool = True) -> Column:
@@ -79,7 +78,8 @@ def by_document(group: Column | None, terms: Mapping[str, str], label: bool = Tr
 
 
 def labelled(accession: Column, terms: Mapping[str, str]) -> Column:
-    return F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for k, a in terms.items() for x in (a, k)]), lambda k, v: k == accession)), F.lit(0))
+    """The term's name; the lambda keeps the accession evaluated once."""
+    return F.transform(F.array(accession), lambda x: F.coalesce(*[F.when(x == a, F.lit(k)) for k, a in terms.items()]))[0]
 
 
 def to_double(text: Column, strict: bool = False) -> Column:

@@ -64,6 +64,11 @@ def source_file_by_term(header: DataFrame, term: str) -> DataFrame:
     return hit.withColumn("_n", F.row_number().over(Window.partitionBy(*keys or [F.lit(1)]).orderBy("position"))).where("_n = 1").drop("_n")
 
 
+def source_file_by_id(header: DataFrame, native_id: str) -> DataFrame:
+    """The source file with this id, of each document; of several the last."""
+    return last_of(source_files(header).where(F.col("id") == native_id))
+
+
 def contacts(header: DataFrame) -> DataFrame:
     x = F.col("x")
     return _items(header, "fileDescription.contact").select(*_carry(header), "position", *[P.cv_value(x, a).alias(k) for k, a in V.CONTACT.items()])

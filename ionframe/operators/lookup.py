@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,19 +22,34 @@ def by_id(table: DataFrame, native_id: str, numeric_suffix: bool = False) -> Dat
     return table.where(hit)
 
 
+def _counted(table: DataFrame) -> DataFrame:
+    """With _n, the rows of each file; one number a file moves."""
+    if "source_file" not in table.columns:
+        return table.join(F.broadcast(table.agg((F.max("ordinal") + 1).alias("_n"))))
+    sizes = table.groupBy("source_file").agg((F.max("ordinal") + 1).alias("_n"))
+    return table.join(sizes, "source_file")
+
+
 def slice_rows(table: DataFrame, start: int | None = None, stop: int | None = None, step: int | None = None) -> DataFrame:
-    """A Python slice of the document order, with a column ``place`` for the order of the result.  Only a slice with negative numbers needs a count."""
+    """A Python slice of the order of each file, with a column ``place`` for the order of the result.  Only a slice with negative numbers needs a count."""
     if step == 0:
         raise ValueError("slice step cannot be zero")
     if all(x is None or x >= 0 for x in (start, stop, step)):
         a, k = start or 0, step or 1
         hit = (F.col("ordinal") >= a) & ((F.col("ordinal") - a) % k == 0)
         return table.where(hit & (F.col("ordinal") < stop) if stop is not None else hit).withColumn("place", ((F.col("ordinal") - a) / k).cast("int"))
-    n = table.agg(F.max("ordinal")).first()[0]
-    a, b, k = slice(start, stop, step).indices(0 if n is None else n + 1)
-    low, high = (a, b) if k > 0 else (b, a)
-    inside = (F.col("ordinal") >= low) & (F.col("ordinal") < high) if k > 0 else (F.col("ordinal") > low) & (F.col("ordinal") <= high)
-    return table.where(inside & ((F.col("ordinal") - a) % abs(k) == 0)).withColumn("place", ((F.col("ordinal") - a) / k).cast("int"))
+    n, k = F.col("_n"), 1 if step is None else step
+    least, most = (F.lit(0), n) if k > 0 else (F.lit(-1), n - 1)  # what a bound is cut to
+
+    def bound(x: int | None, default: Column) -> Column:
+        if x is None:
+            return default
+        return F.greatest(least, F.least(most, n + x if x < 0 else F.lit(x)))
+
+    a, b = bound(start, least if k > 0 else most), bound(stop, most if k > 0 else least)
+    low, high = (F.col("ordinal") >= a) & (F.col("ordinal") < b), (F.col("ordinal") <= a) & (F.col("ordinal") > b)
+    hit = (low if k > 0 else high) & ((F.col("ordinal") - a) % abs(k) == 0)
+    return _counted(table).where(hit).withColumn("place", ((F.col("ordinal") - a) / k).cast("int")).drop("_n")
 
 
 def count(table: DataFrame) -> int:

@@ -157,6 +157,21 @@ def _common(strict: bool) -> dict[str, Callable[[], Column]]:
     }
 
 
+#: Column -> top field of the record that it is made of; those that are missing here are made of cvParam.
+_MADE_OF = {
+    "id": "_id", "index": "_index", "default_array_length": "_defaultArrayLength", "data_processing_ref": "_dataProcessingRef", "source_file_ref": "_sourceFileRef", "spot_id": "_spotID",
+    "user_params": "userParam", "ref_params": "referenceableParamGroupRef", "binary_arrays": "binaryDataArrayList", "mz": "binaryDataArrayList", "intensity": "binaryDataArrayList", "time": "binaryDataArrayList",
+    "spectra_combination": "scanList", "has_scan_list": "scanList", "is_single_scan": "scanList", "scans": "scanList", "lower_scan_window_limit": "scanList", "upper_scan_window_limit": "scanList",
+    "has_precursors": "precursorList", "precursors": "precursorList", "has_products": "productList", "products": "productList",
+    "has_precursor": "precursor", "precursor": "precursor", "has_product": "product", "product": "product",
+}
+
+
+def fields(only: Iterable[str] | None) -> set[str] | None:
+    """The top fields of a record that these columns need; all, if ``only`` is None."""
+    return None if only is None else {"_id"} | {_MADE_OF.get(c, "cvParam") for c in only}
+
+
 def _others(df: DataFrame) -> list[Column]:
     """Columns that are not part of the record: source_file, ordinal, and what the caller carries along."""
     from ..sources.schema import CHROMATOGRAM_DDL, SPECTRUM_DDL

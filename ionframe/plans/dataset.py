@@ -14,6 +14,10 @@ from ..sources import mzml as M
 from ..sources import schema
 
 
+#: Tables of the header whose entries must have an id; without one they are errors if strict.
+REQUIRE_ID = frozenset("cvs source_files param_groups softwares samples scan_settings instrument_configurations".split())
+
+
 class Dataset:
     """Files under ``path`` (plain or gzip, one or many), or documents in a column (``of_texts``).
 
@@ -57,7 +61,17 @@ class Dataset:
         table = getattr(H, name, None)
         if name.startswith("_") or not callable(table) or table.__module__ != H.__name__:
             raise AttributeError(name)
-        return table(self.header)
+        out = table(self.header)
+        return H.require_id(out) if self.strict and name in REQUIRE_ID else out
+
+    def __getitem__(self, key: int | str | slice) -> DataFrame:
+        """Spectra by position, native id or slice, of each file."""
+        if isinstance(key, slice):
+            return L.slice_rows(self.spectra, key.start, key.stop, key.step)
+        return L.at(self.spectra, key) if isinstance(key, int) else L.by_id(self.spectra, key, numeric_suffix=True)
+
+    def __contains__(self, native_id: str) -> bool:
+        return L.contains(self.spectra, native_id)
 
     def tic(self, compat: bool = False) -> DataFrame:
         return L.tic(self.chromatograms, compat)

@@ -32,17 +32,18 @@ def register(name: str, query: Query, sql: str) -> None:
     ORACLES[name] = sql
 
 
-def order_records(spark: SparkSession, sf_dir: str, points: bool = False, **how: str) -> DataFrame:
+def order_records(spark: SparkSession, sf_dir: str, points: bool = False, fields: set[str] | None = None, **how: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem") if points else None
-    return M.parse_records(Y.order_spectra(table(spark, sf_dir, "orders"), items, **how), "xml", "spectrum")
+    return M.parse_records(Y.order_spectra(table(spark, sf_dir, "orders"), items, **how), "xml", "spectrum", fields)
 
 
 def order_spectra(spark: SparkSession, sf_dir: str, points: bool = False, only: str | None = "id index ms_level tic") -> DataFrame:
-    return O.spectra(order_records(spark, sf_dir, points), only=only.split() if only else None)
+    columns = only.split() if only else None
+    return O.spectra(order_records(spark, sf_dir, points, O.fields(columns)), only=columns)
 
 
-def _on_spectra(name: str, build: Callable[[DataFrame], DataFrame], sql: str, points: bool = False, only: str = "id index ms_level tic") -> None:
-    register(name, lambda s, d: build(order_spectra(s, d, points, only + " mz intensity" * points)), sql)
+def _on_spectra(name: str, build: Callable[[DataFrame], DataFrame], sql: str, points: bool = False, only: str = "id index ms_level tic", decode: bool = True) -> None:
+    register(name, lambda s, d: build(order_spectra(s, d, points, only + " mz intensity" * (points and decode))), sql)
 
 
 def _on_records(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -62,7 +63,7 @@ _on_spectra("scan_count", lambda s: s.agg(F.count(F.lit(1)).alias("n"), F.count_
 _on_spectra("by_id", lambda s: L.by_id(s, "scan=77").select("id", "tic"), f"SELECT {_ID}, o_totalprice AS tic FROM orders WHERE o_orderkey = 77")
 _on_spectra("by_numeric_suffix", lambda s: L.by_id(s, "78", numeric_suffix=True).select("id", "tic"), f"SELECT {_ID}, o_totalprice AS tic FROM orders WHERE o_orderkey = 78")
 _on_spectra("ms_level_filter", lambda s: s.where("ms_level = 2").select("id", "ms_level", "tic"), f"SELECT {_ID}, 2 AS ms_level, o_totalprice AS tic FROM orders WHERE {_K} % 3 = 1")
-_on_spectra("attributes", lambda s: s.select("id", "index", "default_array_length", "spot_id"), f"SELECT {_ID}, CAST({_K} AS INTEGER) AS index, 0 AS default_array_length, 'A' || ({_K} % 96) AS spot_id FROM orders", only="id index default_array_length spot_id")
+_on_spectra("attributes", lambda s: s.select("id", "index", "default_array_length", "spot_id"), f"SELECT {_ID}, CAST({_K} AS INTEGER) AS index, CAST({_K} % 1000 AS INTEGER) AS default_array_length, 'A' || ({_K} % 96) AS spot_id FROM orders", only="id index default_array_length spot_id")
 _on_records("cv_by_accession", lambda r: r.select(F.col("_id").alias("id"), P.cv_value(None, "MS:1000511").alias("value")), f"SELECT {_ID}, CAST({_K} % 3 + 1 AS VARCHAR) AS value FROM orders")
 _on_records("cv_by_name", lambda r: r.select(F.col("_id").alias("id"), P.cv_param(None, "ms level")["_accession"].alias("accession"), P.cv_value(None, "ms level").alias("value")), f"SELECT {_ID}, 'MS:1000511' AS accession, CAST({_K} % 3 + 1 AS VARCHAR) AS value FROM orders")
 _on_records(
@@ -107,18 +108,26 @@ _on_spectra(
 _on_spectra("scan_list", lambda s: s.select("id", "has_scan_list", F.size("scans").alias("n"), s["scans"][0]["has_scan_windows"].alias("has_windows"), s["scans"][0]["is_single_windowed_scan"].alias("single"), s["scans"][0]["instrument_configuration_ref"].alias("config")), f"SELECT {_ID}, true AS has_scan_list, CASE WHEN {_K} % 6 = 5 THEN 2 ELSE 1 END AS n, {_K} % 4 <> 3 AS has_windows, {_K} % 4 = 1 AS single, 'IC1' AS config FROM orders", only="id has_scan_list scans")
 _on_spectra("spectra_combination", lambda s: s.select("id", "spectra_combination"), f"SELECT {_ID}, {_case(f'{_K} % 5', [*V.SPECTRUM_COMBINATION, None])} AS spectra_combination FROM orders", only="id spectra_combination")
 # -- precursors
-_on_spectra("has_precursors", lambda s: s.select("id", "has_precursors", "has_products", F.size("precursors").alias("n")), f"SELECT {_ID}, {_K} % 3 > 0 AS has_precursors, false AS has_products, CASE WHEN {_K} % 3 > 0 THEN 1 ELSE 0 END AS n FROM orders", only="id has_precursors precursors has_products")
+def _more(names: tuple[str, ...], cycle: int, parts: int) -> str:
+    """SQL of the values that some spectra have of these terms."""
+    return ", ".join(f"CASE WHEN {_K} % {j + 2} = 0 THEN CAST(({_K} % {cycle}) / {parts}.0 + {j} AS DOUBLE) END AS {x}" for j, x in enumerate(names))
+
+
+_on_spectra("record_refs", lambda s: s.select("id", "data_processing_ref", "source_file_ref"), f"SELECT {_ID}, CASE WHEN {_K} % 2 = 0 THEN 'DP1' END AS data_processing_ref, CASE WHEN {_K} % 3 = 0 THEN 'sf' || ({_K} % 10) END AS source_file_ref FROM orders", only="id data_processing_ref source_file_ref")
+_on_spectra("precursor_refs", lambda s: s.select("id", F.explode("precursors").alias("p")).select("id", "p.source_file_ref", "p.external_spectrum_id"), f"SELECT {_ID}, CASE WHEN {_K} % 5 = 0 THEN 'sf1' END AS source_file_ref, CASE WHEN {_K} % 7 = 0 THEN 'x' || {_K} END AS external_spectrum_id FROM orders WHERE {_K} % 3 > 0", only="id precursors")
+_on_spectra("products", lambda s: s.select("id", F.explode("products.isolation_window").alias("w")).select("id", "w.target_mz", "w.lower_offset"), f"SELECT {_ID}, CAST({_K} + 0.25 AS DOUBLE) AS target_mz, CAST(NULL AS DOUBLE) AS lower_offset FROM orders WHERE {_K} % 4 = 0", only="id products")
+_on_spectra("has_precursors", lambda s: s.select("id", "has_precursors", "has_products", F.size("precursors").alias("n")), f"SELECT {_ID}, {_K} % 3 > 0 AS has_precursors, {_K} % 4 = 0 AS has_products, CASE WHEN {_K} % 3 > 0 THEN 1 ELSE 0 END AS n FROM orders", only="id has_precursors precursors has_products")
 _on_spectra(
     "precursor_ions",
-    lambda s: s.select("id", F.explode("precursors").alias("p")).select("id", "p.spectrum_ref", F.explode("p.selected_ions").alias("i")).select("id", "spectrum_ref", "i.selected_ion_mz", "i.peak_intensity", "i.charge_state", "i.ccs"),
-    f"SELECT {_ID}, 'scan=' || ({_K} - 1) AS spectrum_ref, o_totalprice / 100 AS selected_ion_mz, CAST({_K} AS DOUBLE) AS peak_intensity, CAST({_K} % 4 + 1 AS INTEGER) AS charge_state, CAST(NULL AS DOUBLE) AS ccs FROM orders WHERE {_K} % 3 > 0",
+    lambda s: s.select("id", F.explode("precursors").alias("p")).select("id", "p.spectrum_ref", F.explode("p.selected_ions").alias("i")).select("id", "spectrum_ref", "i.selected_ion_mz", "i.peak_intensity", "i.charge_state", *[f"i.{x}" for x in Y.ION_MORE]),
+    f"SELECT {_ID}, 'scan=' || ({_K} - 1) AS spectrum_ref, o_totalprice / 100 AS selected_ion_mz, CAST({_K} AS DOUBLE) AS peak_intensity, CAST({_K} % 4 + 1 AS INTEGER) AS charge_state, {_more(Y.ION_MORE, 50, 8)} FROM orders WHERE {_K} % 3 > 0",
     only="id precursors",
 )
 _on_spectra("isolation_window", lambda s: s.select("id", F.explode("precursors.isolation_window").alias("w")).select("id", "w.*"), f"SELECT {_ID}, o_totalprice / 100 AS target_mz, CAST(0.5 AS DOUBLE) AS lower_offset, CAST(({_K} % 3) / 4.0 AS DOUBLE) AS upper_offset FROM orders WHERE {_K} % 3 > 0", only="id precursors")
 _on_spectra(
     "activation",
-    lambda s: s.select("id", F.explode("precursors.activation").alias("a")).select("id", "a.activation_type", "a.ce", "a.collision_gas", "a.collision_gas_value", "a.activation_energy"),
-    f"SELECT {_ID}, {_case(f'{_K} % {len(V.DISSOCIATION)}', list(V.DISSOCIATION))} AS activation_type, CAST(({_K} % 80) / 2.0 AS DOUBLE) AS ce, 'collision gas' AS collision_gas, 'argon' AS collision_gas_value, CAST(NULL AS DOUBLE) AS activation_energy FROM orders WHERE {_K} % 3 > 0",
+    lambda s: s.select("id", F.explode("precursors.activation").alias("a")).select("id", "a.activation_type", "a.ce", "a.collision_gas", "a.collision_gas_value", *[f"a.{x}" for x in Y.ACTIVATION_MORE]),
+    f"SELECT {_ID}, {_case(f'{_K} % {len(V.DISSOCIATION)}', list(V.DISSOCIATION))} AS activation_type, CAST(({_K} % 80) / 2.0 AS DOUBLE) AS ce, 'collision gas' AS collision_gas, 'argon' AS collision_gas_value, {_more(Y.ACTIVATION_MORE, 40, 4)} FROM orders WHERE {_K} % 3 > 0",
     only="id precursors",
 )
 _on_spectra(
@@ -147,11 +156,11 @@ register("first", lambda s, d: L.first(order_documents(s, d)).select("doc", "id"
 register("slice_step", lambda s, d: L.slice_rows(order_documents(s, d), 2, 40, 7).select("doc", "id", "place"), f"SELECT doc, {_ID}, CAST((ordinal - 2) / 7 AS INTEGER) AS place FROM {_DOCS} WHERE ordinal >= 2 AND ordinal < 40 AND (ordinal - 2) % 7 = 0")
 register(
     "slice_negative",
-    lambda s, d: L.slice_rows(order_documents(s, d).where("doc = 'c1'"), -1, -30, -4).select("id", "place"),
-    f"SELECT {_ID}, CAST((n - 1 - ordinal) / 4 AS INTEGER) AS place FROM {_DOCS} WHERE doc = 'c1' AND ordinal > n - 30 AND (n - 1 - ordinal) % 4 = 0",
+    lambda s, d: L.slice_rows(order_documents(s, d), -1, -30, -4).select("doc", "id", "place"),
+    f"SELECT doc, {_ID}, CAST((n - 1 - ordinal) / 4 AS INTEGER) AS place FROM {_DOCS} WHERE ordinal > n - 30 AND (n - 1 - ordinal) % 4 = 0",
 )
 register("document_counts", lambda s, d: order_documents(s, d).groupBy("doc").agg(F.count(F.lit(1)).alias("n")), f"SELECT doc, count(*) AS n FROM {_DOCS} GROUP BY doc")
-register("contains_semi", lambda s, d: L.contained(s.range(0, 40000, 7).select(F.concat(F.lit("scan="), "id").alias("id")), order_spectra(s, d)), f"SELECT {_ID} FROM orders WHERE {_K} % 7 = 0 AND {_K} < 40000")
+register("contains_semi", lambda s, d: L.contained(table(s, d, "lineitem").select(F.concat(F.lit("scan="), F.col("l_partkey")).alias("id")).distinct(), order_spectra(s, d)), "SELECT DISTINCT 'scan=' || l_partkey AS id FROM lineitem WHERE l_partkey IN (SELECT o_orderkey FROM orders)")
 register("missing_ids_anti", lambda s, d: L.missing(table(s, d, "lineitem").select(F.concat(F.lit("scan="), F.col("l_orderkey") + 3).alias("id")).distinct(), order_spectra(s, d)), "SELECT DISTINCT 'scan=' || (l_orderkey + 3) AS id FROM lineitem WHERE l_orderkey + 3 NOT IN (SELECT o_orderkey FROM orders)")
 
 # -- points
@@ -174,12 +183,12 @@ register(
     "isolation_range_join",
     lambda s, d: K.in_isolation_windows(
         K.peaks(order_spectra(s, d, True, "id mz intensity")),
-        order_spectra(s, d, only="id index ms_level precursors").where("ms_level = 2 and index % 100 = 1").select(F.col("id").alias("window_id"), F.explode("precursors.isolation_window").alias("w")).select("window_id", (F.col("w.target_mz") - 5 * F.col("w.lower_offset")).alias("lower"), (F.col("w.target_mz") + 5 * F.col("w.lower_offset")).alias("upper")),
+        order_spectra(s, d, only="id index ms_level precursors").where("ms_level = 2").select(F.col("id").alias("window_id"), F.explode("precursors.isolation_window").alias("w")).select("window_id", (F.col("w.target_mz") - 5 * F.col("w.lower_offset")).alias("lower"), (F.col("w.target_mz") + 5 * F.col("w.lower_offset")).alias("upper")),
     ).select("window_id", "id", "pos", "mz"),
-    f"SELECT 'scan=' || o_orderkey AS window_id, p.id, p.pos, p.mz FROM {_POINTS} p JOIN orders ON p.mz >= o_totalprice / 100 - 2.5 AND p.mz <= o_totalprice / 100 + 2.5 WHERE {_K} % 3 = 1 AND {_K} % 100 = 1",
+    f"SELECT 'scan=' || o_orderkey AS window_id, p.id, p.pos, p.mz FROM {_POINTS} p JOIN orders ON p.mz >= o_totalprice / 100 - 2.5 AND p.mz <= o_totalprice / 100 + 2.5 WHERE {_K} % 3 = 1",
 )
-_on_spectra("array_metadata", lambda s: s.select("id", F.posexplode("binary_arrays").alias("j", "b")).select("id", "j", "b.compression", "b.encoding", "b.array_type", "b.decode_status"), "SELECT 'scan=' || o_orderkey AS id, j, 'MS:1000574' AS compression, 'MS:1000523' AS encoding, CASE j WHEN 0 THEN 'mz' ELSE 'intensity' END AS array_type, 'ok' AS decode_status FROM (SELECT o_orderkey, unnest([0, 1]) AS j FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))", only="id binary_arrays")
-_on_records("has_array", lambda r: r.select(F.col("_id").alias("id"), O.has_array("MS:1000514").alias("has")), f"SELECT {_ID}, false AS has FROM orders")
+_on_spectra("array_metadata", lambda s: s.select("id", F.posexplode("binary_arrays").alias("j", "b")).select("id", "j", "b.compression", "b.encoding", "b.array_type", "b.decode_status"), "SELECT 'scan=' || o_orderkey AS id, j, 'MS:1000574' AS compression, 'MS:1000523' AS encoding, CASE j WHEN 0 THEN 'mz' ELSE 'intensity' END AS array_type, 'ok' AS decode_status FROM (SELECT o_orderkey, unnest([0, 1]) AS j FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))", points=True, only="id binary_arrays", decode=False)
+register("has_array", lambda s, d: order_records(s, d, True, {"_id", "binaryDataArrayList"}).select(F.col("_id").alias("id"), O.has_array("MS:1000514").alias("has")), f"SELECT {_ID}, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has FROM orders")
 
 # -- codecs
 _WHOLE = "CAST(floor(abs(x) * 1000) AS DOUBLE)"
@@ -230,12 +239,14 @@ for _name in ("linear", "pic", "slof", "zlib", "zstd"):
 
 # -- chromatograms
 def user_chromatograms(spark: SparkSession, sf_dir: str, only: str = "id time intensity chromatogram_type") -> DataFrame:
-    return O.chromatograms(M.parse_records(Y.user_chromatograms(table(spark, sf_dir, "events")), "xml", "chromatogram"), only=only.split())
+    return O.chromatograms(M.parse_records(Y.user_chromatograms(table(spark, sf_dir, "events")), "xml", "chromatogram", O.fields(only.split())), only=only.split())
 
 
 _UID = "'user=' || user_id AS id"
 _CTYPE = _case("user_id % 8", list(V.CHROMATOGRAM_TYPE))
 register("chromatogram_type", lambda s, d: user_chromatograms(s, d, "id chromatogram_type default_array_length has_precursor has_product").select("id", "chromatogram_type", "default_array_length", "has_precursor", "has_product"), f"SELECT {_UID}, {_CTYPE} AS chromatogram_type, CAST(count(*) AS INTEGER) AS default_array_length, user_id % 2 = 1 AS has_precursor, user_id % 2 = 1 AS has_product FROM events GROUP BY user_id")
+register("chromatogram_refs", lambda s, d: user_chromatograms(s, d, "id data_processing_ref source_file_ref").select("id", "data_processing_ref", "source_file_ref"), f"SELECT {_UID}, CASE WHEN user_id % 2 = 0 THEN 'DP1' END AS data_processing_ref, CASE WHEN user_id % 3 = 0 THEN 'sf1' END AS source_file_ref FROM events GROUP BY user_id")
+register("chromatogram_arrays", lambda s, d: user_chromatograms(s, d, "id binary_arrays").select("id", F.posexplode("binary_arrays").alias("j", "b")).select("id", "j", "b.compression", "b.array_type"), f"SELECT {_UID}, j, '{V.COMPRESSION['zstd_compression']}' AS compression, CASE j WHEN 0 THEN 'time' ELSE 'intensity' END AS array_type FROM (SELECT DISTINCT user_id, unnest([0, 1]) AS j FROM events)")
 register("chromatogram_points", lambda s, d: K.peaks(user_chromatograms(s, d), x="time"), f"SELECT {_UID}, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS time, value AS intensity FROM events")
 register("chromatogram_targets", lambda s, d: user_chromatograms(s, d, "id has_precursor precursor product").where("has_precursor").select("id", F.col("precursor.isolation_window.target_mz").alias("q1"), F.col("product.isolation_window.target_mz").alias("q3"), F.col("precursor.activation.activation_type").alias("activation")), f"SELECT DISTINCT {_UID}, CAST(0.5 + user_id AS DOUBLE) AS q1, CAST(1.5 + user_id AS DOUBLE) AS q3, 'collision_induced_dissociation' AS activation FROM events WHERE user_id % 2 = 1")
 register("tic_chromatogram", lambda s, d: L.tic(user_chromatograms(s, d)).select("id", F.size("time").cast("long").alias("n")), f"SELECT {_UID}, count(*) AS n FROM events WHERE user_id % 8 = 4 GROUP BY user_id")
@@ -251,13 +262,15 @@ def _on_header(name: str, build: Callable[[DataFrame], DataFrame], sql: str) ->
 
 
 _SUPP = "(SELECT *, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name, s_acctbal) - 1 AS INTEGER) AS position FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
-_CUST = "(SELECT *, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, c_name, c_mktsegment) - 1 AS INTEGER) AS position FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 = 0)"
+_CUST = "(SELECT *, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, c_name, c_mktsegment) - 1 AS INTEGER) AS position FROM customer JOIN nation ON n_nationkey = c_nationkey)"
 _on_header("documents", H.documents, "SELECT n_nationkey AS doc, n_name AS id, '1.1.' || n_nationkey AS version, '4.1' AS obo_version FROM nation")
 _on_header("cvs", H.cvs, "SELECT n_nationkey AS doc, j AS position, CASE j WHEN 0 THEN 'MS' ELSE 'UO' END AS id, CASE j WHEN 0 THEN 'PSI' ELSE 'Units' END AS full_name, CASE j WHEN 0 THEN '4.1' ELSE '' END AS version, CASE j WHEN 0 THEN 'u' ELSE '' END AS uri FROM (SELECT *, unnest([0, 1]) AS j FROM nation)")
 _on_header("file_content", H.file_content, "SELECT n_nationkey AS doc, 0 AS position, 'MS:1000580' AS accession, 'MSn spectrum' AS name, '' AS value FROM nation")
 _on_header("source_files", lambda h: H.source_files(h).select("doc", "position", "id", "name", "location", "checksum_type", "checksum"), f"SELECT s_nationkey AS doc, position, 'sf' || s_suppkey AS id, s_name AS name, 'file:///d' AS location, CASE s_suppkey % 3 WHEN 0 THEN 'md5' WHEN 1 THEN 'sha1' ELSE 'sha256' END AS checksum_type, md5(s_name) AS checksum FROM {_SUPP}")
 _on_header("source_file_by_term", lambda h: H.source_file_by_term(h, "MS:1000569").select("doc", "id"), f"SELECT doc, id FROM (SELECT s_nationkey AS doc, 'sf' || s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY position) AS r FROM {_SUPP} WHERE s_suppkey % 3 = 1) WHERE r = 1")
-_on_header("contacts", lambda h: H.contacts(h).select("doc", "position", "name", "organization", "email"), f"SELECT c_nationkey AS doc, position, c_name AS name, c_mktsegment AS organization, CAST(NULL AS VARCHAR) AS email FROM {_CUST}")
+_on_header("source_file_by_id", lambda h: H.source_file_by_id(h, "sf7").select("doc", "position", "name"), f"SELECT s_nationkey AS doc, position, s_name AS name FROM {_SUPP} WHERE s_suppkey = 7")
+_on_header("run_refs", lambda h: H.runs(h).select("doc", "sample_ref", "default_source_file_ref"), "SELECT n_nationkey AS doc, 'sa' || n_nationkey AS sample_ref, CASE WHEN n_nationkey % 2 = 0 THEN 'sf1' END AS default_source_file_ref FROM nation")
+_on_header("contacts", lambda h: H.contacts(h).select("doc", "position", "name", "organization", *Y.CONTACT_MORE), f"SELECT c_nationkey AS doc, position, c_name AS name, c_mktsegment AS organization, {", ".join(f"{x!r} || ' ' || c_custkey AS {x}" for x in Y.CONTACT_MORE)} FROM {_CUST}")
 _on_header("param_groups", lambda h: H.param_groups(h).select("doc", "id", F.explode("accessions").alias("accession")), "SELECT n_nationkey AS doc, 'region_' || n_regionkey AS id, unnest(['MS:1000579', 'MS:1000130']) AS accession FROM nation")
 _on_header("software", lambda h: H.softwares(h).select("doc", "position", "id", F.col("version").cast("double").alias("version")), f"SELECT s_nationkey AS doc, position, 'sw' || s_suppkey AS id, s_acctbal AS version FROM {_SUPP}")
 _on_header("samples", lambda h: H.samples(h).select("doc", "position", "id", "name"), f"SELECT c_nationkey AS doc, position, 'sa' || c_custkey AS id, CASE WHEN c_custkey % 20 <> 0 THEN c_name END AS name FROM {_CUST}")
@@ -279,7 +292,7 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("group_resolution", _grouped, f"SELECT {_ID}, CAST(3 + CASE WHEN {_K} % 5 < 4 THEN 1 ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS BIGINT) AS n, o_orderstatus = 'F' AS ms1 FROM orders")
-register("cv_dimension", lambda s, d: V.cv_dim(s).groupBy("vocabulary").agg(F.count(F.lit(1)).alias("n")), "SELECT * FROM (VALUES " + ", ".join(f"('{v}', CAST({len(t)} AS BIGINT))" for v, t in V.VOCABULARIES.items()) + ") t(vocabulary, n)")
+register("cv_dimension", lambda s, d: V.cv_dim(s).groupBy("vocabulary").agg(F.count(F.lit(1)).alias("n")), "SELECT vocabulary, CAST(n AS BIGINT) AS n FROM (VALUES ('binary_data_type', 5), ('compression', 17), ('spectrum_type', 2), ('spectrum_combination', 4), ('polarity', 2), ('spectrum', 9), ('binary_data_array', 32), ('chromatogram_type', 8), ('checksum_type', 3), ('contact', 9), ('dissociation', 22), ('isolation_window', 3), ('selected_ion', 8), ('activation', 5)) t(vocabulary, n)")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,11 @@ def document(fragments: DataFrame, doc: str, order: str, text: str, header: Colu
 # -- the documents of the registered queries
 
 
+#: Terms that some ions and activations of the synthetic spectra have, each of its own share.
+ION_MORE = ("ir_im", "im_drift_time", "faims_voltage_start", "faims_voltage_end", "ccs")
+ACTIVATION_MORE = ("activation_energy", "supplemental_ce", "collision_gas_pressure")
+
+
 def order_spectra(orders: DataFrame, lineitem: DataFrame | None = None, dtype: str = V.BINARY_DATA_TYPE["float_64"], compression: str = V.COMPRESSION["zlib_compression"]) -> DataFrame:
     """k, xml: an order as a spectrum; with lineitem, its items as points (price, quantity), ordered by number, part, price and quantity."""
     k, price = F.col("o_orderkey"), F.col("o_totalprice")
@@ -84,11 +89,12 @@ def order_spectra(orders: DataFrame, lineitem: DataFrame | None = None, dtype: s
         instrumentConfigurationRef="IC1",
     )
     combination = pick(k % 5, *V.SPECTRUM_COMBINATION.values(), None)
-    ion = element("selectedIon", cv("MS:1000744", "selected ion m/z", price / 100), cv("MS:1000042", "peak intensity", k), cv("MS:1000041", "charge state", k % 4 + 1))
+    ion = element("selectedIon", cv("MS:1000744", "selected ion m/z", price / 100), cv("MS:1000042", "peak intensity", k), cv("MS:1000041", "charge state", k % 4 + 1), *[when(k % (j + 2) == 0, cv(V.SELECTED_ION[name], name, (k % 50) / F.lit(8.0) + j)) for j, name in enumerate(ION_MORE)])
     kinds = list(V.DISSOCIATION.values())
-    activation = element("activation", cv(pick(k % len(kinds), *kinds)), cv("MS:1000045", "collision energy", (k % 80) / F.lit(2.0)), cv("MS:1000419", "collision gas", "argon"))
+    activation = element("activation", cv(pick(k % len(kinds), *kinds)), cv("MS:1000045", "collision energy", (k % 80) / F.lit(2.0)), cv("MS:1000419", "collision gas", "argon"), *[when(k % (j + 2) == 0, cv(V.ACTIVATION[name], name, (k % 40) / F.lit(4.0) + j)) for j, name in enumerate(ACTIVATION_MORE)])
     isolation = element("isolationWindow", cv("MS:1000827", "isolation window target m/z", price / 100), cv("MS:1000828", "isolation window lower offset", 0.5), cv("MS:1000829", "isolation window upper offset", (k % 3) / F.lit(4.0)))
-    precursor = element("precursor", isolation, element("selectedIonList", ion, count="1"), activation, spectrumRef=F.concat(F.lit("scan="), (k - 1).cast("string")))
+    precursor = element("precursor", isolation, element("selectedIonList", ion, count="1"), activation, spectrumRef=F.concat(F.lit("scan="), (k - 1).cast("string")), sourceFileRef=F.when(k % 5 == 0, "sf1"), externalSpectrumID=F.when(k % 7 == 0, F.concat(F.lit("x"), k.cast("string"))))
+    product = element("product", element("isolationWindow", cv("MS:1000827", "isolation window target m/z", k + F.lit(0.25))))
     rows, arrays = orders, F.lit("")
     if lineitem is not None:
         points = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"))).alias("_p"))
@@ -105,10 +111,13 @@ def order_spectra(orders: DataFrame, lineitem: DataFrame | None = None, dtype: s
         user("priority", F.col("o_orderpriority")),
         element("scanList", when(combination.isNotNull(), cv(combination)), scan, when(k % 6 == 5, scan), count="1"),
         when(k % 3 > 0, element("precursorList", precursor, count="1")),
+        when(k % 4 == 0, element("productList", product, count="1")),
         arrays,
         id=F.concat(F.lit("scan="), k.cast("string")),
         index=k.cast("string"),
-        defaultArrayLength="0",
+        defaultArrayLength=(k % 1000).cast("string"),
+        dataProcessingRef=F.when(k % 2 == 0, "DP1"),
+        sourceFileRef=F.when(k % 3 == 0, F.concat(F.lit("sf"), (k % 10).cast("string"))),
         spotID=F.concat(F.lit("A"), (k % 96).cast("string")),
     )
     return rows.select(k.alias("k"), xml.alias("xml"), F.concat(F.lit("c"), (F.col("o_custkey") % 4).cast("string")).alias("doc"), F.col("o_custkey").alias("custkey"))
@@ -136,19 +145,24 @@ def user_chromatograms(events: DataFrame) -> DataFrame:
         id=F.concat(F.lit("user="), k.cast("string")),
         index=k.cast("string"),
         defaultArrayLength=F.size("_p").cast("string"),
+        dataProcessingRef=F.when(k % 2 == 0, "DP1"),
+        sourceFileRef=F.when(k % 3 == 0, "sf1"),
     )
     return each.select(k.alias("k"), xml.alias("xml"))
 
 
+CONTACT_MORE = ("email", "url", "address", "phone_number", "toll_free_phone_number", "fax_number", "role")
+
+
 def nation_headers(nation: DataFrame, supplier: DataFrame, customer: DataFrame) -> DataFrame:
     """doc, xml: a nation as the header of a document."""
     s = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name", "s_acctbal"))).alias("_s"))
-    c = customer.where(F.col("c_custkey") % 10 == 0).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("_c"))
+    c = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("_c"))
     k = F.col("n_nationkey")
     joined = lambda column, f: F.coalesce(F.array_join(F.transform(column, f), ""), F.lit(""))
     checks = F.array(*map(F.lit, V.CHECKSUM_TYPE.values()))
     file = lambda x: element("sourceFile", cv(F.get(checks, (x["s_suppkey"] % 3).cast("int")), "checksum", F.md5(x["s_name"].cast("binary"))), id=F.concat(F.lit("sf"), x["s_suppkey"].cast("string")), name=x["s_name"], location="file:///d")
-    contact = lambda x: element("contact", cv("MS:1000586", "contact name", x["c_name"]), cv("MS:1000590", "contact affiliation", x["c_mktsegment"]))
+    contact = lambda x: element("contact", cv("MS:1000586", "contact name", x["c_name"]), cv("MS:1000590", "contact affiliation", x["c_mktsegment"]), *[cv(V.CONTACT[name], name, F.concat(F.lit(f"{name} "), x["c_custkey"].cast("string"))) for name in CONTACT_MORE])
     software = lambda x: element("software", cv("MS:1000531", "software", ""), id=F.concat(F.lit("sw"), x["s_suppkey"].cast("string")), version=x["s_acctbal"].cast("string"))
     sample = lambda x: element("sample", id=F.concat(F.lit("sa"), x["c_custkey"].cast("string")), name=F.when(x["c_custkey"] % 20 == 0, "").otherwise(x["c_name"]))
     settings = lambda x: element("scanSettings", element("sourceFileRefList", element("sourceFileRef", ref=F.concat(F.lit("sf"), x["s_suppkey"].cast("string"))), count="1"), element("targetList", element("target", cv(V.TARGET_MZ, "selected ion m/z", x["s_acctbal"])), count="1"), id=F.concat(F.lit("ss"), x["s_suppkey"].cast("string")))
@@ -166,7 +180,7 @@ def nation_headers(nation: DataFrame, supplier: DataFrame, customer: DataFrame)
         element("scanSettingsList", joined("_s", settings)),
         element("instrumentConfigurationList", element("instrumentConfiguration", cv("MS:1000529", "instrument serial number", k), element("componentList", parts, count="3"), element("softwareRef", ref=F.concat(F.lit("sw"), F.get(F.col("_s"), F.lit(0))["s_suppkey"].cast("string"))), id="IC1"), count="1"),
         element("dataProcessingList", element("dataProcessing", joined("_s", method), id="DP1"), count="1"),
-        element("run", id=F.concat(F.lit("run"), k.cast("string")), defaultInstrumentConfigurationRef="IC1", startTimeStamp=start),
+        element("run", id=F.concat(F.lit("run"), k.cast("string")), defaultInstrumentConfigurationRef="IC1", startTimeStamp=start, sampleRef=F.concat(F.lit("sa"), k.cast("string")), defaultSourceFileRef=F.when(k % 2 == 0, "sf1")),
         id=F.col("n_name"),
         version=F.concat(F.lit("1.1."), k.cast("string")),
     )

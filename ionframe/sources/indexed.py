@@ -49,6 +49,16 @@ def list_files(path: str) -> list[str]:
     return sorted(f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and f.path.lower().endswith(".mzml"))
 
 
+def _stands(stream, kind: str, native_id: str, at: int) -> bool:
+    """Whether the element with this id begins at the offset."""
+    from xml.sax.saxutils import unescape
+
+    stream.seek(at)
+    head = _TAG.match(stream.read(4096))
+    name = head and _ID.search(head[0])
+    return bool(name) and head[1].decode() == kind and unescape((name[1] or name[2] or b"").decode(errors="replace"), {"&quot;": '"', "&apos;": "'"}) == native_id
+
+
 def footer_index(stream, size: int) -> dict[str, list[tuple[str, int]]] | None:
     """kind -> (id, offset) in the footer's order; None if there is no sound footer: ids or offsets repeat, or an offset is not at its element."""
     from xml.sax.saxutils import unescape
@@ -68,11 +78,8 @@ def footer_index(stream, size: int) -> dict[str, list[tuple[str, int]]] | None:
     if len(set(offsets)) != len(offsets) or any(len({i for i, _ in entries}) != len(entries) for entries in out.values()):
         return None
     for kind, entries in out.items():
-        for _, at in entries[:1] + entries[-1:]:
-            stream.seek(at)
-            head = _TAG.match(stream.read(4096))
-            if not head or head[1].decode() != kind:
-                return None
+        if not all(_stands(stream, kind, *e) for e in entries[:1] + entries[-1:]):  # the others are looked at where they are read
+            return None
     return out
 
 
@@ -106,6 +113,7 @@ class Range(InputPartition):
     ids: list[str]
     offsets: list[int]
     encoding: str
+    last: bool = False  # of its file
 
 
 class Reader(DataSourceReader):
@@ -136,6 +144,7 @@ class Reader(DataSourceReader):
                 run.append(e)
             if run:
                 out.append(self._range(path, run, prolog))
+                out[-1].last = self.high is None
         return out or [Range("", self.kind, 0, [], [], "utf-8")]
 
     def _range(self, path: str, run: list[tuple[int, str, int]], prolog) -> Range:
@@ -147,7 +156,13 @@ class Reader(DataSourceReader):
         end = re.compile(rb"</(?:\w+:)?" + part.kind.encode() + rb"\s*>")
         system, at = _open(part.path)
         with system.open_input_file(at) as stream:
-            for k, (name, offset) in enumerate(zip(part.ids, part.offsets, strict=True)):
+            entries = list(zip(range(part.first, part.first + len(part.ids)), part.ids, part.offsets, strict=True))
+            if not all(_stands(stream, part.kind, name, offset) for _, name, offset in entries):  # a wrong footer: this task reads the file through
+                stream.seek(0)
+                found = scanned_index(stream).get(part.kind, [])
+                wanted = range(part.first, len(found) if part.last and self.only is None else part.first + len(part.ids))
+                entries = [(k, name, offset) for k, (name, offset) in enumerate(found) if (k in wanted if self.only is None else name == self.only)]
+            for place, name, offset in entries:
                 stream.seek(offset)
                 held, seen = b"", 0
                 while not (m := end.search(held, seen)):
@@ -156,7 +171,7 @@ class Reader(DataSourceReader):
                         raise ValueError(f"{part.path}: {part.kind} {name!r} has no end")
                     seen = max(0, len(held) - 64)
                     held += more
-                yield part.path, part.kind, part.first + k, name, offset, held[: m.end()].decode(part.encoding)
+                yield part.path, part.kind, place, name, offset, held[: m.end()].decode(part.encoding)
 
 
 class MzmlIndexed(DataSource):

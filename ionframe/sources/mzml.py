@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .schema import RECORDS
+from .schema import RECORDS, pruned
 
 OPTIONS = {"ignoreSurroundingSpaces": "false", "ignoreNamespace": "true", "attributePrefix": "_", "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
@@ -31,13 +31,13 @@ def read_records(spark: SparkSession, path: str | list[str], record: str, keep_c
     return raw
 
 
-def parse_records(df: DataFrame, xml: str, record: str) -> DataFrame:
-    """df with the fields of one element from each text in column ``xml``; in-memory documents go this way.
+def parse_records(df: DataFrame, xml: str, record: str, fields: set[str] | None = None) -> DataFrame:
+    """df with the fields of one element from each text in column ``xml`` (all, or just these); in-memory documents go this way.
 
     The generator keeps Spark from parsing anew for each column that is used."""
     options = {k: v for k, v in OPTIONS.items() if k != "multiLine"} | {"rowTag": record}
     others = [c for c in df.columns if c != xml]
-    parsed = F.from_xml(F.col(xml), RECORDS[record], options)
+    parsed = F.from_xml(F.col(xml), pruned(record, fields), options)
     return df.select(*others, F.inline(F.array(parsed)))
 
 

@@ -93,5 +93,13 @@ CORRUPT = "_corrupt_record STRING"
 SPECTRUM_DDL = ", ".join((*_SPECTRUM, CORRUPT))
 CHROMATOGRAM_DDL = ", ".join((*_CHROMATOGRAM, CORRUPT))
 HEADER_DDL = ", ".join((*_HEADER, CORRUPT))
-#: rowTag -> schema
+#: rowTag -> top fields; rowTag -> schema
+FIELDS = {"spectrum": _SPECTRUM, "chromatogram": _CHROMATOGRAM, "mzML": _HEADER}
 RECORDS = {"spectrum": SPECTRUM_DDL, "chromatogram": CHROMATOGRAM_DDL, "mzML": HEADER_DDL}
+
+
+def pruned(record: str, fields: set[str] | None) -> str:
+    """The record's schema with just these top fields; elements that it lacks are skipped by the parser."""
+    if fields is None:
+        return RECORDS[record]
+    return ", ".join((*[f for f in FIELDS[record] if f.split()[0] in fields], CORRUPT))

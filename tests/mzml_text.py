@@ -58,7 +58,7 @@ HEADER = f"""<cvList count="2"><cv id="MS" fullName="Mass" version="4.1" URI="u"
 <dataProcessingList count="1"><dataProcessing id="dp"><processingMethod order="1" softwareRef="w1">{param("MS:1000544")}</processingMethod></dataProcessing></dataProcessingList>"""
 
 
-def document(records=None, chromatograms=None, header=HEADER, index=True, encoding="utf-8", start="2007-06-27T15:23:45.00035+02:00"):
+def document(records=None, chromatograms=None, header=HEADER, index=True, encoding="utf-8", start="2019-11-03T08:41:07.00035+02:00"):
     records = spectra() if records is None else records
     chromatograms = [chromatogram("tic", "MS:1000235"), chromatogram("c&amp;2", "MS:1000627")] if chromatograms is None else chromatograms
     text = f'<?xml version="1.0" encoding="{encoding}"?>\n<indexedmzML xmlns="http://psi.hupo.org/ms/mzml"><mzML id="m" version="1.1.0">\n{header}\n<run id="r" defaultInstrumentConfigurationRef="ic" startTimeStamp="{start}"><spectrumList count="{len(records)}">\n'

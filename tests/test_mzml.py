@@ -76,7 +76,7 @@ def test_header(data):
     assert [s.version for s in H.last_of(data.softwares).collect()] == ["2"]
     assert [(c.kind, c.order) for c in data.components.collect()] == [("source", 1), ("analyzer", 2), ("detector", None)]
     assert data.scan_settings.first().target_mz == [1000.0]
-    assert str(data.runs.first().start_time_stamp) == "2007-06-27 15:23:45.000350"
+    assert str(data.runs.first().start_time_stamp) == "2019-11-03 08:41:07.000350"
     assert R.join_ref(data.processing_methods, "software_ref", data.softwares, "software_").first().software_version == "2"
     with pytest.raises(Exception, match="missing required attribute"):
         H.require_id(data.documents.withColumn("id", F.lit(None).cast("string"))).collect()
@@ -100,6 +100,14 @@ def test_many_files_and_memory(spark, folder):
     both = M.read_records(spark, str(folder), "spectrum").select(F.element_at(F.split("source_file", "/"), -1).alias("f"), "ordinal", "_id")
     got = sorted(map(tuple, both.collect()))
     assert got == [("a.mzML", k, f"scan={k}") for k in range(6)] + [("b.mzML.gz", k, f"scan={k}") for k in range(3)]
+    # slices are of each file; both have other lengths
+    s = both.select("f", "ordinal", F.col("_id").alias("id"), F.col("f").alias("source_file"))
+    for a, b, c in ((-2, None, None), (None, -1, None), (-1, -9, -2), (None, None, -1), (4, None, 2), (-4, -1, 1), (-100, 100, None), (5, -100, -1)):
+        rows = L.slice_rows(s, a, b, c).orderBy("f", "place").collect()
+        assert [(r.f, r.ordinal) for r in rows] == [(f, k) for f, n in (("a.mzML", 6), ("b.mzML.gz", 3)) for k in list(range(n))[slice(a, b, c)]], (a, b, c)
+    data = Dataset(spark, str(folder / "a.mzML"))
+    assert data[4].first().id == data["scan=4"].first().id == data["4"].first().id == "scan=4" and "scan=4" in data and "scan=9" not in data
+    assert [r.id for r in data[-2:].orderBy("place").collect()] == ["scan=4", "scan=5"]
     texts = spark.createDataFrame([("x", T.document())], "source_file string, text string")
     memory = Dataset.of_texts(texts)
     assert memory.counts() == {"spectra": 6, "chromatograms": 2} and memory.documents.first().id == "m" and memory.spectra.where("ordinal = 4").first().id == "scan=4"
@@ -134,12 +142,14 @@ def test_arrays(spark, tmp_path):
     assert records.select(O.values("MS:1000514", strict=False).alias("v")).first().v is None
 
 
-@pytest.mark.parametrize("how", ["footer", "none", "wrong", "doubled", "minified"])
+@pytest.mark.parametrize("how", ["footer", "none", "wrong", "middle", "doubled", "minified"])
 def test_indexed_source(spark, tmp_path, how):
     indexed.register(spark)
     text = T.document(index=how != "none")
     if how == "wrong":
         text = text.replace('<offset idRef="scan=0">', '<offset idRef="scan=0">9')
+    if how == "middle":
+        text = text.replace('<offset idRef="scan=2">', '<offset idRef="scan=2">1')
     if how == "doubled":
         text = text.replace('idRef="scan=1"', 'idRef="scan=0"')
     if how == "minified":
