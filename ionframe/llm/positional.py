@@ -7,8 +7,9 @@ that the shard lacks is done with; for the others the list of the rarest word, m
 word's offset in the phrase, is intersected with those of the next rarest, and so on, so
 that what is left are exact starts.  ``proximity`` finds terms within a span instead.
 
-Phrases reach the shards by broadcast in rounds of bounded size, so the benchmark may be
-of any size; rounds are joined by shard.
+Phrases reach the shards by broadcast in rounds of bounded size; rounds are joined by shard.
+All rounds are alive at once, so the driver's and executors' memory grows with the benchmark
+(some twenty times its text); benchmarks of more than some hundred MB want an index by term.
 
 A word is a run of digits, letters a-z and bytes over 0x7F after lower-casing A-Z.  A
 benchmark item's phrases are its runs of n words; an item of fewer words is one phrase.

@@ -5,7 +5,9 @@ sketch of its windows (any 64-bit keys): in each of ROWS rows, the cells it touc
 sorted, delta-coded numbers, split into segments.  A segment's partial sketches are merged
 in one task (counts add up, saturating), and each chunk gets back the merged counts of
 just the cells it touched, in its own order.  The number of segments grows with the input,
-so that chunks, segments and messages are of bounded size at any scale.
+so that chunks, segments and messages are of bounded size at any scale.  The number of messages
+is 2 x chunks x segments and so grows with the square of the input, while they get smaller:
+7 million at 30 GB; from some TB on they need a second level of merging, which is not made.
 
 A count is never too small: a key seen twice has at least 2 in every row.
 """

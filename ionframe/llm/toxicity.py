@@ -257,7 +257,7 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nd
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = 20_000, signals: int = 4000, least: int = 3, strong: float = 2.5) -> Model:
     """Counts of the language model from all documents; signals and weights from at most ``labelled`` rows.
 
-    Half of these rows (by hash) give the signals, the other half the logistic weights, as
+    Two thirds of these rows (by hash) give the signals, the others the logistic weights, as
     signals look stronger than they are where they were chosen."""
     docs = need(docs, ["doc_id", "text"])
     counts = trigram_counts(docs)
