@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; what
 it returns is written as Parquet and read again.  All but the last return the columns of
-``documents``.
+``documents``.  Near copies and contaminated documents go by doc_id, so rows without one stay.
 """
 
 from __future__ import annotations
