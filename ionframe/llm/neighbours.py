@@ -11,7 +11,7 @@ that is probed.  In a block, vectors and
 query are rotated by one random orthogonal matrix, so that any d of the D dimensions are a
 random sample, and laid out in blocks of columns.  After each block of columns a candidate
 whose partial distance p fails the test ``p * D / d > t * (1 + eps / sqrt(d)) ** 2`` (t: the
-k-th best distance so far) is abandoned.  Candidates stand in the order of vec_id, so that
+k-th best distance among the first 64 rows of the list's block) is abandoned.  Candidates stand in the order of vec_id, so that
 among equals the smaller ids come first.  What is left is scored exactly, in double
 precision, on the original vectors.
 
