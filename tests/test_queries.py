@@ -1,7 +1,15 @@
+import gzip
+import re
+import xml.etree.ElementTree as ET
+from pathlib import Path
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ionframe.plans import queries as Q
+from ionframe.plans import synthetic as Y
+from ionframe.plans.files import written_documents
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,3 +53,24 @@ def test_entry_without_extras(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as E; from ionframe.plans import queries as Q; assert E.queries().keys() == E.oracle_sql().keys() == Q.QUERIES.keys()"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=False).returncode == 0
+
+
+def test_documents_are_not_held_whole(spark):
+    """Documents are written as lines, in order, by rows that moved before any text was made; no text is collected."""
+    orders = spark.createDataFrame([(k, k % 3, 1.0 * k, "F", "p") for k in (5, 4, 9, 7, 1, 12)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string")
+    rows = Y.placed(orders, F.concat(F.lit("c"), F.col("o_custkey").cast("string")), "o_orderkey")
+    lines = Y.document_lines(Y.order_spectra(rows, keep=("_doc", "_at", "_of")), "xml")
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "<spectrum" not in plan.split("Window")[-1]
+    folder = written_documents(lines, "doc", "xml").removesuffix("/doc=*").removeprefix("file://")
+    texts = {p.parent.name: gzip.open(p, "rt").read() for p in Path(folder).glob("doc=*/*.gz")}
+    assert sorted(texts) == ["doc=c0", "doc=c1", "doc=c2"]
+    for doc, want in (("doc=c0", [9, 12]), ("doc=c1", [1, 4, 7]), ("doc=c2", [5])):
+        ET.fromstring(texts[doc].encode())
+        assert re.findall(r'<spectrum id="scan=(\d+)"', texts[doc]) == list(map(str, want))
+        assert f'<spectrumList count="{len(want)}">' in texts[doc]
+
+
+@pytest.mark.parametrize("name", ["document_counts", "by_ordinal", "first", "slice_step", "multi_file_union"])
+def test_oracle_documents(spark, name):
+    test_oracle(spark, name)
