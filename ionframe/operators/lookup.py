@@ -65,13 +65,18 @@ def contains(table: DataFrame, native_id: str) -> bool:
     return bool(table.where(F.col("id") == native_id).select("id").head(1))
 
 
+def _ids(table: DataFrame, column: str) -> DataFrame:
+    """Never broadcast: of records parsed from text Spark guesses far too small a size, and the ids of all would go through the driver."""
+    return table.select(F.col("id").alias(column)).hint("merge")
+
+
 def contained(keys: DataFrame, table: DataFrame, column: str = "id") -> DataFrame:
     """The keys that are ids of the table (bulk membership)."""
-    return keys.join(table.select(F.col("id").alias(column)), column, "left_semi")
+    return keys.join(_ids(table, column), column, "left_semi")
 
 
 def missing(keys: DataFrame, table: DataFrame, column: str = "id") -> DataFrame:
-    return keys.join(table.select(F.col("id").alias(column)), column, "left_anti")
+    return keys.join(_ids(table, column), column, "left_anti")
 
 
 def tic(chromatograms: DataFrame, compat: bool = False) -> DataFrame:

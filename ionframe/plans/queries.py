@@ -162,8 +162,8 @@ register(
     f"SELECT doc, {_ID}, CAST((n - 1 - ordinal) / 4 AS INTEGER) AS place FROM {_DOCS} WHERE ordinal > n - 30 AND (n - 1 - ordinal) % 4 = 0",
 )
 register("document_counts", lambda s, d: order_documents(s, d).groupBy("doc").agg(F.count(F.lit(1)).alias("n")), f"SELECT doc, count(*) AS n FROM {_DOCS} GROUP BY doc")
-register("contains_semi", lambda s, d: L.contained(table(s, d, "lineitem").select(F.concat(F.lit("scan="), F.col("l_partkey")).alias("id")).distinct(), order_spectra(s, d)), "SELECT DISTINCT 'scan=' || l_partkey AS id FROM lineitem WHERE l_partkey IN (SELECT o_orderkey FROM orders)")
-register("missing_ids_anti", lambda s, d: L.missing(table(s, d, "lineitem").select(F.concat(F.lit("scan="), F.col("l_orderkey") + 3).alias("id")).distinct(), order_spectra(s, d)), "SELECT DISTINCT 'scan=' || (l_orderkey + 3) AS id FROM lineitem WHERE l_orderkey + 3 NOT IN (SELECT o_orderkey FROM orders)")
+register("contains_semi", lambda s, d: L.contained(table(s, d, "lineitem").select(F.concat(F.lit("scan="), F.col("l_partkey")).alias("id")).distinct(), order_spectra(s, d, only="id")), "SELECT DISTINCT 'scan=' || l_partkey AS id FROM lineitem WHERE l_partkey IN (SELECT o_orderkey FROM orders)")
+register("missing_ids_anti", lambda s, d: L.missing(table(s, d, "lineitem").select(F.concat(F.lit("scan="), F.col("l_orderkey") + 3).alias("id")).distinct(), order_spectra(s, d, only="id")), "SELECT DISTINCT 'scan=' || (l_orderkey + 3) AS id FROM lineitem WHERE l_orderkey + 3 NOT IN (SELECT o_orderkey FROM orders)")
 
 # -- points
 _POS = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1"
