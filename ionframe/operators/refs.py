@@ -20,20 +20,25 @@ def join_ref(table: DataFrame, ref: str, target: DataFrame, prefix: str) -> Data
 
 
 def precursor_spectra(spectra: DataFrame) -> DataFrame:
-    """id, precursor_id and the precursor's own row (columns precursor_...): spectra joined with the spectra their precursors name."""
+    """id, precursor_id and the precursor's own row (columns precursor_...): spectra joined with the spectra their precursors name.
+
+    Neither side is broadcast, however small Spark guesses what is parsed from text."""
     shared = [c for c in ("source_file", "doc") if c in spectra.columns]
     refs = spectra.select(*shared, "id", "ms_level", F.explode("precursors.spectrum_ref").alias("precursor_id"))
     parents = spectra.select(*shared, F.col("id").alias("precursor_id"), F.col("ms_level").alias("precursor_ms_level"), F.col("tic").alias("precursor_tic"))
-    return refs.join(parents, [*shared, "precursor_id"], "left")
+    return refs.join(parents.hint("merge"), [*shared, "precursor_id"], "left")
 
 
 def resolve_groups(records: DataFrame, groups: DataFrame) -> DataFrame:
-    """Records whose own cvParam array is followed by those of the groups they refer to."""
+    """Records whose own cvParam array is followed by those of the groups they refer to.
+
+    The groups of a document are one map, which the records look up: they are not joined with
+    themselves, and only groups move to where records are, unless each file has its own."""
     shared = [c for c in ("source_file", "doc") if c in records.columns and c in groups.columns]
-    known = last_of(groups).select(*shared, F.col("id").alias("_group"), F.col("cv_params").alias("_params"))
-    keyed = records.withColumn("_row", F.monotonically_increasing_id())
-    refs = keyed.select("_row", *shared, F.posexplode("referenceableParamGroupRef._ref").alias("_at", "_group"))
-    found = refs.join(known, [*shared, "_group"]).groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_params"))), lambda x: x["_params"])).alias("_more"))
-    out = keyed.join(found, "_row", "left")
-    own, more = F.col("cvParam"), F.col("_more")
-    return out.withColumn("cvParam", F.when(more.isNull(), own).when(own.isNull(), more).otherwise(F.concat(own, more))).drop("_row", "_more")
+    known = last_of(groups).where("id is not null").groupBy(*shared, F.col("id").alias("_group")).agg(F.flatten(F.collect_list("cv_params")).alias("_params"))
+    known = known.groupBy(*shared).agg(F.map_from_entries(F.collect_list(F.struct("_group", "_params"))).alias("_known"))
+    out = records.join(known, shared, "left") if shared else records.crossJoin(F.broadcast(known))  # the latter is one row
+    found = F.transform("referenceableParamGroupRef._ref", lambda x: F.try_element_at(F.col("_known"), x))
+    own, more = F.col("cvParam"), F.flatten(F.filter(found, lambda x: x.isNotNull()))
+    out = out.withColumn("cvParam", F.when(F.coalesce(F.size(more), F.lit(0)) <= 0, own).when(own.isNull(), more).otherwise(F.concat(own, more)))
+    return out.select(records.columns)
