@@ -86,3 +86,23 @@ def test_op9_disguises(spark):
         got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
         assert got.pop(len(words)) < 0.5
         assert [w for i, w in enumerate(words) if got[i] < 0.5] == []
+
+
+def test_op6_large_bands(spark):
+    """In a band of any number of lines every pair of alike lines is found, across blocks too; unlike ones are ruled out where they meet."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    one = [" ".join(rng.sample(words, 20)) for _ in range(60)]
+    every = one + [x[:70] + "zz" + x[72:] for x in one]
+    rows = [(i, x, i) for i, x in enumerate(every)]
+    texts = spark.createDataFrame(rows, "_h long, _l string, _k long")
+    entries = texts.select(F.lit(7).cast("long").alias("_b"), "_h")
+    none = spark.createDataFrame([], "node long, component long")
+    bits, block = fuzzylines.sketches(texts, 5), fuzzylines.BLOCK
+    try:
+        fuzzylines.BLOCK = 16
+        got = fuzzylines.across(entries, texts, bits, none, 0.8).collect()
+    finally:
+        fuzzylines.BLOCK = block
+    alike = {(i, j) for i, x in enumerate(every) for j, y in enumerate(every[:i]) if fuzzylines.jaccard(x, y) >= 0.8}
+    assert len(alike) >= 60 and alike <= {(r._h, r._u) for r in got} and len(got) < 2 * len(alike)
