@@ -79,7 +79,7 @@ def test_oracle_documents(spark, name):
 
 @pytest.mark.parametrize("name", ["contains_semi", "missing_ids_anti", "ref_join_precursor_spectrum", "group_resolution"])
 def test_parsed_records_are_not_broadcast(spark, name):
-    """Spark guesses a thousandth of the size of what is parsed from text; one-row tables may go to all."""
+    """Spark guesses far too small a size of what is parsed from text; one-row tables may go to all."""
     plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
 
