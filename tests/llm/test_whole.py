@@ -1,10 +1,12 @@
 """Cases that a shortened version of an operator gets wrong."""
 
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
-from ionframe.llm import fuzzylines, queries, secrets, toxicity
+from ionframe.llm import fuzzylines, queries, secrets, shared, toxicity
 
 
 def lines_left(spark, lines, **more):
@@ -106,3 +108,19 @@ def test_op6_large_bands(spark):
         fuzzylines.BLOCK = block
     alike = {(i, j) for i, x in enumerate(every) for j, y in enumerate(every[:i]) if fuzzylines.jaccard(x, y) >= 0.8}
     assert len(alike) >= 60 and alike <= {(r._h, r._u) for r in got} and len(got) < 2 * len(alike)
+
+
+def test_op6_frees_tables(spark, monkeypatch):
+    """When pairs across components are looked at, the tables of all lines and of minima are gone; a sketch counts a line's distinct shingles."""
+    base = Path(urlparse(shared.work_dir(spark, "x")).path).parent
+    before, seen, across = set(base.glob("*")), [], fuzzylines.across
+
+    def look(*args):
+        seen.append({p.name.rsplit("-", 1)[0] for p in set(base.glob("*")) - before})
+        return across(*args)
+
+    monkeypatch.setattr(fuzzylines, "across", look)
+    assert lines_left(spark, ["one line that is like the other one, but for its end " + c for c in "ab"]) == [0]
+    assert len(seen) == 1 and "line-places" in seen[0] and not {"lines", "line-minima"} & seen[0]
+    lines = spark.createDataFrame([(1, "aaaaaaaaaa"), (2, "abcdefgabcdefg"), (3, "ab")], "_h long, _l string")
+    assert {r._h: r._n for r in fuzzylines.sketches(lines, 5).collect()} == {1: 1, 2: 7, 3: 1}
