@@ -19,7 +19,12 @@ index entry the documents are paired with one head only, the document that is in
 entries; each document is verified with the head that it meets most often.  Entries whose
 documents are then in one component are done with; in the others, pairs across components
 are verified, except where a link is ruled out by the number of shingles that only one
-document has, or by the distances to a common head (the Jaccard distance is a metric).
+document has, by the distances to a common head (the Jaccard distance is a metric), or by
+sketches: of each set the parities of the numbers of its shingles in BUCKETS buckets.  A bucket
+in which two parities differ holds a shingle that one of the two sets lacks, and linked sets
+have few of these.  All this is looked at where two documents meet, so that only pairs that are
+left are rows; sketches rule out next to nothing from about 1,700 shingles a set on.  Entries
+that hold the same documents would make the same pairs, and one of them stays.
 So copies are not expanded into pairs, and no component is missed.
 
 Words are runs of other bytes than 0x20 and 0x09-0x0D after lower-casing A-Z.  Documents
@@ -31,10 +36,11 @@ their texts, and null doc_ids are one node too, larger than all; columns other t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -46,6 +52,8 @@ LAST = (1 << 63) - 1
 RARE = 64
 #: Bytes of text that a task holds at a time, with the sets of its documents.
 CHUNK_BYTES = 8 << 20
+#: Buckets of a set's sketch, 64 in a long.
+BUCKETS = 1024
 #: The least power of two at which pairs are indexed.
 LEAST_TIER = 3
 _LOW = np.uint64((1 << 64) - 1)
@@ -81,6 +89,12 @@ def fingerprint(x: np.ndarray) -> tuple[int, int]:
     return int(tb.mix(x, 3).sum(dtype=np.uint64).view(np.int64)), int(tb.mix(x, 4).sum(dtype=np.uint64).view(np.int64))
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """Of each bucket, whether it holds an odd number of the set's shingles; 64 in a long."""
+    odd = np.bincount((tb.mix(x, 5) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(x: np.ndarray, count: np.ndarray, share: int = 75, whole: int = 100, rare: int = RARE) -> np.ndarray:
     """The indexed shingles and pairs of one set."""
     n = len(x)
@@ -118,7 +132,7 @@ def signatures(x: np.ndarray, count: np.ndarray, share: int = 75, whole: int = 1
 
 
 FIRST = "chunk int, doc_id long, n long, f long, g long, part int, cells binary, more binary"
-ROWS = "chunk int, doc_id long, n long, f long, g long, lead boolean, r long, signatures array<long>"
+ROWS = "chunk int, doc_id long, n long, f long, g long, lead boolean, r long, signatures array<long>, bits array<long>"
 
 
 def _index(docs: DataFrame, layout: sketch.Layout, k: int, share: int, whole: int, rare: int) -> DataFrame:
@@ -150,12 +164,12 @@ def _index(docs: DataFrame, layout: sketch.Layout, k: int, share: int, whole: in
             lead = len(x) > 0 and me not in skip and me not in met
             met.add(me)
             own = count[at[i] : at[i + 1]]
-            out.append((key[0].as_py(), int(doc_id[i]), len(x), f, g, lead, int((own > 1).sum()), signatures(x, own, share, whole, rare).view(np.int64) if lead else None))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 8
-        kinds = [pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+            out.append((key[0].as_py(), int(doc_id[i]), len(x), f, g, lead, int((own > 1).sum()), signatures(x, own, share, whole, rare).view(np.int64) if lead else None, parities(x) if lead else None))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 9
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.int64(), *[pa.list_(pa.int64())] * 2]
         del each, keys, count
         give_back()
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "doc_id", "n", "f", "g", "lead", "r", "signatures"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "doc_id", "n", "f", "g", "lead", "r", "signatures", "bits"])
 
     by_chunk = docs.groupBy("chunk")
     seen = written(by_chunk.applyInArrow(first, FIRST), "jaccard-first")
@@ -228,14 +242,20 @@ def join(docs: DataFrame, k: int = 5, share: int = 75, whole: int = 100, rare: i
     # entries that still hold several components
     # a distance tells of one text each: of a doc_id that has several, none is known
     known = one.groupBy(F.col("u").alias("doc_id")).agg(F.max("v").alias("by"), F.max(1 - F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))).alias("far"), F.count(F.lit(1)).alias("texts")).where("texts = 1").drop("texts")
-    own = rows.where("lead").select("doc_id", "n", "r").join(labels, F.col("doc_id") == F.col("node"), "left").join(known, "doc_id", "left").select("doc_id", "n", "r", F.coalesce("component", "doc_id").alias("c"), F.coalesce("by", "doc_id").alias("by"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    rest = entries.select("s", "doc_id").join(own, "doc_id")
-    mixed = rest.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("s", "c0")
-    rest = written(rest.join(mixed, "s"), "jaccard-mixed")
-    a = rest.where("c <> c0").select("s", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("r").alias("ru"), F.col("c").alias("cu"), F.col("by").alias("bu"), F.col("far").alias("fu"))
-    b = rest.select("s", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("r").alias("rv"), F.col("c").alias("cv"), F.col("by").alias("bv"), F.col("far").alias("fv"), "c0")
+    own = rows.where("lead").select("doc_id", "n", "r", "bits").join(labels, F.col("doc_id") == F.col("node"), "left").join(known, "doc_id", "left").select("doc_id", "n", "r", "bits", F.coalesce("component", "doc_id").alias("c"), F.coalesce("by", "doc_id").alias("by"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    rest = entries.select("s", "doc_id").join(own.drop("bits"), "doc_id")
+    # sums, as a doc_id of several texts is in an entry more than once
+    members = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(i), "doc_id"), 32)).alias(f"x{i}") for i in range(4)]
+    mixed = rest.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("all"), *members).where("c0 < c1")
+    mixed = mixed.groupBy("all", "x0", "x1", "x2", "x3").agg(F.min(F.struct("s", "c0")).alias("e")).select("e.s", "e.c0")
+    rest = written(entries.select("s", "doc_id").join(mixed, "s").join(own, "doc_id"), "jaccard-mixed")
+    a = rest.where("c <> c0").select("s", *[F.col(c).alias(to) for c, to in (("doc_id", "u"), ("n", "nu"), ("r", "ru"), ("c", "cu"), ("by", "bu"), ("far", "fu"), ("bits", "zu"))])
+    b = rest.select("s", "c0", *[F.col(c).alias(to) for c, to in (("doc_id", "v"), ("n", "nv"), ("r", "rv"), ("c", "cv"), ("by", "bv"), ("far", "fv"), ("bits", "zv"))])
     reach = 1 - share / whole + 1e-9
-    more = a.join(b, (a["s"] == b["s"]) & (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("c0")) | (F.col("u") > F.col("v"))) & F.expr(close("ru", "rv", "nu", "nv")) & ((F.col("bu") != F.col("bv")) | (F.abs(F.col("fu") - F.col("fv")) <= reach)))
+    once = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("c0")) | (F.col("u") > F.col("v")))
+    apart = reduce(Column.__add__, [F.bit_count(F.col("zu")[i].bitwiseXOR(F.col("zv")[i])) for i in range(BUCKETS // 64)])
+    left = (whole + share) * apart <= (whole - share) * (F.col("nu") + F.col("nv"))
+    more = a.join(b, (a["s"] == b["s"]) & once & F.expr(close("ru", "rv", "nu", "nv")) & ((F.col("bu") != F.col("bv")) | (F.abs(F.col("fu") - F.col("fv")) <= reach)) & left)
     more = more.select("u", "v").distinct().join(one.select("u", "v"), ["u", "v"], "left_anti")
     two = written(verified(more, items).where(linked).select("u", "v"), "jaccard-more")
     final = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(two)) if two.head(1) else labels

@@ -6,7 +6,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
-from ionframe.llm import fuzzylines, queries, secrets, shared, toxicity
+from ionframe.llm import fuzzylines, jaccard, queries, secrets, shared, toxicity
 
 
 def lines_left(spark, lines, **more):
@@ -124,3 +124,36 @@ def test_op6_frees_tables(spark, monkeypatch):
     assert len(seen) == 1 and "line-places" in seen[0] and not {"lines", "line-minima"} & seen[0]
     lines = spark.createDataFrame([(1, "aaaaaaaaaa"), (2, "abcdefgabcdefg"), (3, "ab")], "_h long, _l string")
     assert {r._h: r._n for r in fuzzylines.sketches(lines, 5).collect()} == {1: 1, 2: 7, 3: 1}
+
+
+def test_op8_mixed_entries(spark, monkeypatch):
+    """Documents of common passages that are in many entries together, and mostly unlike: few pairs are verified, no link is lost."""
+    rng = random.Random(12)
+    pool = [[f"p{i}w{k}" for k in range(30)] for i in range(14)]
+    rows = []
+    for _ in range(150):
+        words = [w for i in rng.sample(range(14), 5) for w in pool[i]]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.choice([0, 0, 1])):  # an edited copy, near the limit
+            for _ in range(rng.randint(1, 6)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    links = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                links += 1
+                label[max(find(a), find(b))] = min(find(a), find(b))
+    seen, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, items: (seen.append(pairs.count()), verified(pairs, items))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), rare=5).collect()}
+    assert got == {d: find(d) for d in range(len(rows))} and links > 20
+    assert len(seen) == 2 and seen[1] <= 2 * links, seen
