@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from . import tokens
-from .shared import batches_of, need, work_dir, written
+from .shared import batches_of, give_back, need, work_dir, written
 
 MAGIC, END = b"IONTOK01", b"IONEND01"
 NO_ID = -(1 << 63)
@@ -63,8 +63,8 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def encode(docs: DataFrame, path: str, end: int, width: int, dictionary: bytes) -> DataFrame:
-    """doc_id, n_tokens, frame (compressed ids)."""
+def _frames(path: str, end: int, width: int, dictionary: bytes):
+    """Documents as compressed ids; what a batch took goes back to the system, as workers live on beside the executor's heap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -78,9 +78,17 @@ def encode(docs: DataFrame, path: str, end: int, width: int, dictionary: bytes)
                 raw = memoryview(flat.astype(f"<u{width}").tobytes())
                 at = np.append(0, np.cumsum(n)) * width
                 frames = [comp.compress(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.record_batch([ids.slice(block.first, len(block)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
+                out = pa.record_batch([ids.slice(block.first, len(block)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
+                del flat, raw, frames
+                yield out
+            give_back()
+
+    return run
 
-    return need(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_tokens long, frame binary")
+
+def encode(docs: DataFrame, path: str, end: int, width: int, dictionary: bytes) -> DataFrame:
+    """doc_id, n_tokens, frame (compressed ids)."""
+    return need(docs, ["doc_id", "text"]).mapInArrow(_frames(path, end, width, dictionary), "doc_id long, n_tokens long, frame binary")
 
 
 def _records(header: bytes, record_bytes: int):
@@ -187,12 +195,15 @@ def read(spark: SparkSession, out: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()  # a worker that has encoded before holds all that it has learnt
+        give_back()
         for batch in batches:
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(memoryview(content.as_buffer()), dictionary)
                 crc = np.fromiter((zlib.crc32(shard.at(i).astype("<u4").tobytes()) for i in range(shard.n)), np.int64, shard.n)
                 doc = pa.array(shard.doc, pa.int64(), mask=shard.doc == NO_ID)
                 yield pa.record_batch([pa.array(np.full(shard.n, number, np.int32)), doc, pa.array(np.cumsum(shard.count) - shard.count), pa.array(shard.count), pa.array(crc)], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
+                del shard, crc, doc, content
+            give_back()
 
     with batches_of(spark, 1):
         rows = written(files.mapInArrow(run, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-rows")

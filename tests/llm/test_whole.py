@@ -1,6 +1,8 @@
 """Cases that a shortened version of an operator gets wrong."""
 
 import random
+import subprocess
+import sys
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -157,3 +159,27 @@ def test_op8_mixed_entries(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), rare=5).collect()}
     assert got == {d: find(d) for d in range(len(rows))} and links > 20
     assert len(seen) == 2 and seen[1] <= 2 * links, seen
+
+
+def test_op1_gives_memory_back():
+    """What a worker has freed while it encodes is not held beside the executor's heap: encoding frees no more when it is told to."""
+    run = """
+import re
+import pyarrow.parquet as pq
+from ionframe.llm import queries, shared, tokenbin
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches():
+    for batch in pq.ParquetFile("/root/testdata/sf0.1/documents.parquet").iter_batches(2000, columns=["doc_id", "text"]):
+        yield batch
+
+for out in tokenbin._frames(queries.tokenizer("op1"), 0, 2, b"")(batches()):
+    del out
+before = held()
+shared.give_back()
+print(before - held())
+"""
+    got = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[2])
+    assert float(got.stdout) < 60, got.stderr
