@@ -11,8 +11,9 @@
    beginnings that labelled toxic documents have more often than others.  Four summaries of
    the signals found go through a logistic model.
 
-Signals and model are fitted on at most ``labelled`` rows of labels, those of least hash,
-none held out; nothing but text is an input.  Null text is empty and gets the score of a
+Signals and model are fitted on all rows of labels that are not held out; nothing but text
+is an input.  What reaches the driver is of fixed size: the ``signals`` strongest signals and
+sums of the logistic model.  Null text is empty and gets the score of a
 document without signals.  Labels that are null or belong to no document teach nothing;
 several labels of one document all count.  If no label is left, every score is 0.
 Equal doc_ids stay separate documents; other columns take no part.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .shared import need, small_batches
+from .shared import drop, need, small_batches, written
 
 #: Letters that a sign may stand for.
 SIGNS = {
@@ -49,6 +50,8 @@ _LETTER = _CODE < EDGE
 _SIGN = tb.table("".join(SIGNS))
 #: Punctuation at the ends of a word, that which is no sign, and all.
 PLAIN_ENDS, ENDS = ".,;:?\"')]}>", ".,;:!?\"')]}>*#$%&"
+#: Parts of one that sums of the logistic model are counted in.
+FIXED = 1 << 40
 _RUN = re.compile(r"(.)\1{3,}", re.S)
 
 
@@ -221,15 +224,35 @@ def summaries(doc: np.ndarray, key: np.ndarray, n: np.ndarray, signals: np.ndarr
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights, the constant last, by Newton's method."""
+def _sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray) -> list[int]:
+    """Gradient and upper half of the second derivatives at w of rows that stand for n each, in units of 1 / FIXED: whole numbers, so that the order of rows does not touch the sums."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    keep = np.diag([ridge] * (len(w) - 1) + [1e-3])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    i, j = np.triu_indices(len(w))
+    terms = np.hstack([x * (y - p)[:, None], x[:, i] * x[:, j] * (p * (1 - p))[:, None]])
+    return (np.rint(terms * FIXED).astype(np.int64).astype(object) * n.astype(object)[:, None]).sum(0).tolist()
+
+
+def fit_logistic(rows: DataFrame, ridge: float = 1.0) -> np.ndarray:
+    """Weights, the constant last, by Newton's method.  rows: the inputs, y (0 or 1) and n, the number of documents that have these; each task sends one row of sums a step."""
+    inputs = [c for c in rows.columns if c not in ("y", "n")]
+    w = np.zeros(len(inputs) + 1)
+    keep, (i, j) = np.diag([ridge] * len(inputs) + [1e-3]), np.triu_indices(len(w))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
-        w += step
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = [0] * (len(w) + len(i))
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.column_stack([np.asarray(batch.column(c)) for c in inputs])
+                    total = [a + b for a, b in zip(total, _sums(x, np.asarray(batch.column("y"), float), np.asarray(batch.column("n")), w), strict=True)]
+            yield pa.record_batch([pa.array([[str(t) for t in total]], pa.list_(pa.string()))], ["sums"])
+
+        total = np.array([sum(map(int, each)) / FIXED for each in zip(*(r[0] for r in rows.mapInArrow(run, "sums array<string>").collect()), strict=True)])
+        second = np.zeros((len(w), len(w)))
+        second[i, j] = second[j, i] = total[len(w) :]
+        step = np.linalg.solve(second + keep, total[: len(w)] - keep @ w)
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
@@ -254,16 +277,16 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nd
     return np.log((pos + 0.1) / (n_pos + 1)) - np.log((neg + 0.1) / (n_neg + 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = 20_000, signals: int = 4000, least: int = 3, strong: float = 2.5) -> Model:
-    """Counts of the language model from all documents; signals and weights from at most ``labelled`` rows.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", signals: int = 4000, least: int = 3, strong: float = 2.5) -> Model:
+    """Counts of the language model from all documents; signals and weights from all labelled ones that are not held out.
 
     Two thirds of these rows (by hash) give the signals, the others the logistic weights, as
     signals look stronger than they are where they were chosen."""
     docs = need(docs, ["doc_id", "text"])
     counts = trigram_counts(docs)
     rows = need(labels, ["doc_id", label]).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(labelled).select("doc_id", F.col(label).cast("int").alias("y"), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("late"))
-    known = docs.join(F.broadcast(rows), "doc_id").select("text", "y", "late")  # of a size bounded by the parameter
+    rows = rows.select("doc_id", F.col(label).cast("int").alias("y"), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("late"))
+    known = written(docs.join(rows.hint("shuffle_hash"), "doc_id").select("text", "y", "late"), "toxicity-known")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(counts)
@@ -297,10 +320,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
                 x = summaries(*features(block, decoder), model.signals, model.weight)
                 yield pa.record_batch([*map(pa.array, x.T), batch.column("y").slice(block.first, len(block))], ["a", "b", "c", "d", "y"])
 
-    rest = known.where("late").mapInArrow(summarise, "a double, b double, c double, d double, y int").toPandas()
-    if len(rest):
-        rest = rest.sort_values(list(rest.columns))  # the order of rows must not touch the sums
-        model.logistic = fit_logistic(rest[["a", "b", "c", "d"]].to_numpy(), (rest["y"].to_numpy() > 0).astype(float))
+    rest = known.where("late").mapInArrow(summarise, "a double, b double, c double, d double, y int")
+    rest = written(rest.groupBy("a", "b", "c", "d", (F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")), "toxicity-summaries")
+    if rest.head(1):
+        model.logistic = fit_logistic(rest)
+    for done in (known, rest):
+        drop(done)
     return model
 
 

@@ -92,6 +92,19 @@ def test_op9_disguises(spark):
         assert [w for i, w in enumerate(words) if got[i] < 0.5] == []
 
 
+def test_op9_all_labels(spark):
+    """The model learns from every labelled row that is not held out, however many there are."""
+    n = 26_000
+    ids = spark.range(n).select(F.col("id").alias("doc_id")).where(~toxicity.held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    late = {r.doc_id for r in ids[20_000:]}
+    assert len(late) > 500
+    rows = [(i, f"you blorft{'ed' * (i % 2)} today {i}" if i in late else f"a calm day {i}", int(i in late)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4, "doc_id")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "you blorft"), (2, "a calm day")], "doc_id long, text string"), model).collect()}
+    assert got[2] < 0.5 <= got[1]
+
+
 def test_op6_large_bands(spark):
     """In a band of any number of lines every pair of alike lines is found, across blocks too; unlike ones are ruled out where they meet."""
     rng = random.Random(5)
