@@ -188,17 +188,26 @@ def read_dictionary(spark: SparkSession, out: str) -> bytes:
 def read(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files: start counts the ids of all documents before it.
 
-    A file goes to Python alone, as a batch of one row; what is read is put down, so that
-    the files are read once, and one number a file gives the starts."""
+    Files of a file system that is mounted are mapped by the workers: as rows, they stood in the
+    executor's heap several times over.  Others go to Python alone, as batches of one row.  What
+    is read is put down, so that the files are read once, and one number a file gives the starts."""
     dictionary = read_dictionary(spark, out)
-    files = spark.read.format("binaryFile").load(f"{out}/shards").where(F.col("length") > TRAILER_BYTES).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    mounted = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+    files = spark.read.format("binaryFile").load(f"{out}/shards").where(F.col("length") > TRAILER_BYTES)
+    files = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path" if mounted else "content")
+
+    def opened(value: pa.Scalar) -> memoryview:
+        if not mounted:
+            return memoryview(value.as_buffer())
+        return memoryview(pa.memory_map(value.as_py().removeprefix("file:")).read_buffer())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()  # a worker that has encoded before holds all that it has learnt
         give_back()
         for batch in batches:
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(memoryview(content.as_buffer()), dictionary)
+                shard = Shard(opened(content), dictionary)
                 crc = np.fromiter((zlib.crc32(shard.at(i).astype("<u4").tobytes()) for i in range(shard.n)), np.int64, shard.n)
                 doc = pa.array(shard.doc, pa.int64(), mask=shard.doc == NO_ID)
                 yield pa.record_batch([pa.array(np.full(shard.n, number, np.int32)), doc, pa.array(np.cumsum(shard.count) - shard.count), pa.array(shard.count), pa.array(crc)], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])

@@ -8,7 +8,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
-from ionframe.llm import fuzzylines, jaccard, queries, secrets, shared, toxicity
+from ionframe.llm import fuzzylines, jaccard, queries, secrets, shared, tokenbin, toxicity
 
 
 def lines_left(spark, lines, **more):
@@ -196,3 +196,16 @@ print(before - held())
 """
     got = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[2])
     assert float(got.stdout) < 60, got.stderr
+
+
+def test_op1_maps_shards(spark, monkeypatch, tmp_path):
+    """Shards in a mounted folder do not pass through the executor's heap, whatever the folder's name; any other file system gives the same rows."""
+    seen, put_down = [], tokenbin.written
+    monkeypatch.setattr(tokenbin, "written", lambda df, name: (seen.append(df._jdf.queryExecution().executedPlan().toString()), put_down(df, name))[1])
+    docs = spark.createDataFrame([(i, f"text {i} " * i) for i in range(200)], "doc_id long, text string")
+    out = f"{tmp_path}/a b%20c"
+    tokenbin.write(docs, out, queries.tokenizer("op1"), shard_bytes=2000)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.here.link./tmp", f"file://{tmp_path}")
+    got = [sorted(map(tuple, tokenbin.read(spark, at).collect())) for at in (out, f"file://{out}", "viewfs://here/tmp/a b%20c")]
+    assert len(got[0]) == 200 and got[0] == got[1] == got[2]
+    assert ["content" in x for x in seen] == [False, False, True]
