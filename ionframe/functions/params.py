@@ -82,12 +82,20 @@ def labelled(accession: Column, terms: Mapping[str, str]) -> Column:
     return F.transform(F.array(accession), lambda x: F.coalesce(*[F.when(x == a, F.lit(k)) for k, a in terms.items()]))[0]
 
 
-def to_double(text: Column, strict: bool = False) -> Column:
-    """As a decimal number, nan or inf; blanks around it and single underscores between digits are taken.  Others: null, or an error if strict."""
+#: A decimal number.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _cleaned_double(text: Column) -> Column:
     t = F.lower(F.regexp_replace(F.trim(F.regexp_replace(text, r"[\t\n\r\f\x0B]", " ")), r"(?<=\d)_(?=\d)", ""))
-    number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$")
     special = F.when(t.rlike(r"^[+-]?nan$"), F.lit(float("nan"))).when(t.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(t.rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
-    out = F.when(number, t.try_cast("double")).otherwise(special)
+    return F.when(t.rlike(NUMBER), t.try_cast("double")).otherwise(special)
+
+
+def to_double(text: Column, strict: bool = False) -> Column:
+    """As a decimal number, nan or inf; blanks around it and single underscores between digits are taken.  Others: null, or an error if strict."""
+    # Spark writes out an expression wherever it is used; the lambda keeps the text looked up once, and plain numbers need no cleaning
+    out = F.transform(F.array(text), lambda x: F.when(x.rlike(NUMBER), x.try_cast("double")).otherwise(_cleaned_double(x)))[0]
     return _checked(text, out, "could not convert to a number", strict)
 
 

@@ -162,14 +162,24 @@ _MADE_OF = {
     "id": "_id", "index": "_index", "default_array_length": "_defaultArrayLength", "data_processing_ref": "_dataProcessingRef", "source_file_ref": "_sourceFileRef", "spot_id": "_spotID",
     "user_params": "userParam", "ref_params": "referenceableParamGroupRef", "binary_arrays": "binaryDataArrayList", "mz": "binaryDataArrayList", "intensity": "binaryDataArrayList", "time": "binaryDataArrayList",
     "spectra_combination": "scanList", "has_scan_list": "scanList", "is_single_scan": "scanList", "scans": "scanList", "lower_scan_window_limit": "scanList", "upper_scan_window_limit": "scanList",
-    "has_precursors": "precursorList", "precursors": "precursorList", "has_products": "productList", "products": "productList",
+    "has_precursors": "precursorList", "precursors": "precursorList", "isolation_windows": "precursorList", "has_products": "productList", "products": "productList",
     "has_precursor": "precursor", "precursor": "precursor", "has_product": "product", "product": "product",
 }
 
 
+_ARRAY = "binaryDataArrayList.binaryDataArray"
+_VALUE = ("_accession", "_name", "_value")
+#: Column -> the parts of its field that it is made of, of columns that many records are read for.
+_PARTS = {
+    **{c: tuple(f"cvParam.{x}" for x in _VALUE) for c in ("tic", "ms_level")},
+    "isolation_windows": tuple(f"precursorList.precursor.isolationWindow.cvParam.{x}" for x in _VALUE),
+    **{c: (f"{_ARRAY}.cvParam._accession", f"{_ARRAY}.cvParam._name", f"{_ARRAY}.binary") for c in ("mz", "intensity", "time")},
+}
+
+
 def fields(only: Iterable[str] | None) -> set[str] | None:
-    """The top fields of a record that these columns need; all, if ``only`` is None."""
-    return None if only is None else {"_id"} | {_MADE_OF.get(c, "cvParam") for c in only}
+    """The fields of a record that these columns need, dotted where a part will do; all, if ``only`` is None."""
+    return None if only is None else {"_id"} | {f for c in only for f in _PARTS.get(c, (_MADE_OF.get(c, "cvParam"),))}
 
 
 def _others(df: DataFrame) -> list[Column]:
@@ -210,6 +220,7 @@ def spectra(records: DataFrame, strict: bool = False, compat_polarity: bool = Fa
         "upper_scan_window_limit": lambda: limit("upper_scan_window_limit"),
         "has_precursors": lambda: F.col("precursorList").isNotNull(),
         "precursors": lambda: _array(F.transform("precursorList.precursor", lambda p: precursor(p, strict))),
+        "isolation_windows": lambda: _array(F.transform("precursorList.precursor", lambda p: isolation_window(p["isolationWindow"], strict))),
         "has_products": lambda: F.col("productList").isNotNull(),
         "products": lambda: _array(F.transform("productList.product", lambda p: product(p, strict))),
         "mz": lambda: values("MS:1000514"),

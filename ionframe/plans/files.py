@@ -17,3 +17,10 @@ def written_documents(documents: DataFrame, doc: str, xml: str) -> str:
     path = shared_path(documents.sparkSession, "documents")
     documents.select(doc, xml).write.partitionBy(doc).option("compression", "gzip").text(path)
     return f"{path}/{doc}=*"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written as a table and read again, for what is used more than once."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -181,12 +181,26 @@ def _lag(points: DataFrame) -> DataFrame:
 
 
 _on_spectra("peaks_window_lag", lambda s: _lag(K.peaks(s)), f"SELECT id, pos, mz - lag(mz) OVER (PARTITION BY id ORDER BY pos) AS step FROM {_POINTS}", True)
+
+
+def _isolation_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .files import stored
+
+    # a small file of orders is much text: its rows are dealt before it is made and parsed
+    orders = table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    only = ["id", "ms_level", "isolation_windows"]
+    every = O.spectra(M.parse_records(Y.order_spectra(orders), "xml", "spectrum", O.fields(only)), only=only).where("ms_level = 2")
+    # the outer one: of the other Spark infers a filter that makes the windows twice
+    every = every.select(F.col("id").alias("window_id"), F.explode_outer("isolation_windows").alias("w"))
+    windows = every.select("window_id", (F.col("w.target_mz") - 5 * F.col("w.lower_offset")).alias("lower"), (F.col("w.target_mz") + 5 * F.col("w.lower_offset")).alias("upper"))
+    only = ["id", "mz"]
+    points = O.spectra(M.parse_records(Y.order_spectra(orders, table(spark, sf_dir, "lineitem")), "xml", "spectrum", O.fields(only)), only=only)
+    return K.in_isolation_windows(K.positions(points), stored(windows, "windows"), width=1.0).select("window_id", "id", "pos", "mz")
+
+
 register(
     "isolation_range_join",
-    lambda s, d: K.in_isolation_windows(
-        K.peaks(order_spectra(s, d, True, "id mz intensity")),
-        order_spectra(s, d, only="id index ms_level precursors").where("ms_level = 2").select(F.col("id").alias("window_id"), F.explode("precursors.isolation_window").alias("w")).select("window_id", (F.col("w.target_mz") - 5 * F.col("w.lower_offset")).alias("lower"), (F.col("w.target_mz") + 5 * F.col("w.lower_offset")).alias("upper")),
-    ).select("window_id", "id", "pos", "mz"),
+    _isolation_range_join,
     f"SELECT 'scan=' || o_orderkey AS window_id, p.id, p.pos, p.mz FROM {_POINTS} p JOIN orders ON p.mz >= o_totalprice / 100 - 2.5 AND p.mz <= o_totalprice / 100 + 2.5 WHERE {_K} % 3 = 1",
 )
 _on_spectra("array_metadata", lambda s: s.select("id", F.posexplode("binary_arrays").alias("j", "b")).select("id", "j", "b.compression", "b.encoding", "b.array_type", "b.decode_status"), "SELECT 'scan=' || o_orderkey AS id, j, 'MS:1000574' AS compression, 'MS:1000523' AS encoding, CASE j WHEN 0 THEN 'mz' ELSE 'intensity' END AS array_type, 'ok' AS decode_status FROM (SELECT o_orderkey, unnest([0, 1]) AS j FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))", points=True, only="id binary_arrays", decode=False)

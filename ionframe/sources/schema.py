@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql.types import ArrayType, DataType, StructType
+
 
 def _struct(*fields: str) -> str:
     return f"STRUCT<{', '.join(f.replace(' ', ': ', 1) for f in fields)}>"
@@ -98,8 +100,21 @@ FIELDS = {"spectrum": _SPECTRUM, "chromatogram": _CHROMATOGRAM, "mzML": _HEADER}
 RECORDS = {"spectrum": SPECTRUM_DDL, "chromatogram": CHROMATOGRAM_DDL, "mzML": HEADER_DDL}
 
 
-def pruned(record: str, fields: set[str] | None) -> str:
-    """The record's schema with just these top fields; elements that it lacks are skipped by the parser."""
+def pruned(record: str, fields: set[str] | None) -> str | StructType:
+    """The record's schema with just these fields, dotted where just a part of one is needed; elements and attributes that it lacks are skipped by the parser."""
     if fields is None:
         return RECORDS[record]
+    if any("." in f for f in fields):
+        return _narrowed(StructType.fromDDL(", ".join((*FIELDS[record], CORRUPT))), fields | {CORRUPT.split()[0]})
     return ", ".join((*[f for f in FIELDS[record] if f.split()[0] in fields], CORRUPT))
+
+
+def _narrowed(kind: DataType, fields: set[str]) -> DataType:
+    if isinstance(kind, ArrayType):
+        return ArrayType(_narrowed(kind.elementType, fields))
+    out = StructType()
+    for f in kind.fields:
+        parts = {x[len(f.name) + 1 :] for x in fields if x.startswith(f"{f.name}.")}
+        if f.name in fields or parts:
+            out.add(f.name, f.dataType if f.name in fields else _narrowed(f.dataType, parts))
+    return out

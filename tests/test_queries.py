@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionframe.operators import peaks as K
+from ionframe.operators import spectra as O
 from ionframe.plans import queries as Q
 from ionframe.plans import synthetic as Y
 from ionframe.plans.files import written_documents
+from ionframe.sources import mzml as M
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -96,3 +98,18 @@ def test_range_join_moves_points_within_the_windows(spark):
 @pytest.mark.parametrize("name", ["missing_ids_anti", "isolation_range_join"])
 def test_oracle_joins(spark, name):
     test_oracle(spark, name)
+
+
+def test_range_join_parses_orders_once_for_each_side(spark):
+    """Windows are parsed before the join, once, by tasks that orders are dealt to; just the parts that they are made of, and no intensities are decoded."""
+    plan = Q.QUERIES["isolation_range_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Generate inline\(array\(from_xml", plan)) == 1 and "StructField(precursorList" not in plan
+    assert plan.count("ArrowEvalPython [run(") == 2 and "REPARTITION_BY_NUM" in plan
+
+
+def test_isolation_windows_are_those_of_precursors(spark):
+    rows = Y.order_spectra(spark.read.parquet(f"{SF}/orders.parquet"))
+    whole = O.spectra(M.parse_records(rows, "xml", "spectrum"), only=["id", "ms_level", "tic", "precursors"]).select("id", "ms_level", "tic", "precursors.isolation_window")
+    only = ["id", "ms_level", "tic", "isolation_windows"]
+    part = O.spectra(M.parse_records(rows, "xml", "spectrum", O.fields(only)), only=only).select(only)
+    assert sorted(map(str, map(tuple, part.collect()))) == sorted(map(str, map(tuple, whole.collect())))
